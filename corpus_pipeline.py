@@ -1,14 +1,60 @@
-"""The corpus pipeline: toxicity, exact dedup, n-gram Jaccard join, secret scans, packing."""
+"""The corpus pipeline: toxicity, exact dedup, n-gram Jaccard join, secret scans, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last
+return the columns of documents; run() writes each stage as Parquet in the shared folder and rereads it.
+Rows with the same doc_id share their fate in the first stages, as their texts are judged by id.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rippleframe.llm import exact_dedup, jaccard_join, packing, secrets, toxicity
+from rippleframe.llm.common import cut, table
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with a score of 0.5 or more go. Labels are those of the corpus' labels table."""
+    scores = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    gone = scores.where("predicted = 1").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts one row stays."""
+    kept = exact_dedup.exact_groups(docs).where("kept").select("doc_id").distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").select(docs.columns)
+
+
+def keep_one_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts that links join, the one with the smallest doc_id stays."""
+    groups = jaccard_join.jaccard_components(docs)
+    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each span that the scan found becomes [secret]; overlapping spans become one. All documents stay."""
+    found = secrets.findings(docs).where("spans <> ''").select("blob", "spans").dropDuplicates(["blob"])
+    rows = docs.withColumn("_blob", F.sha2(F.coalesce("text", F.lit("")), 256))
+    rows = rows.join(found, rows["_blob"] == found["blob"], "left").withColumn("text", secrets.masked(F.col("text"), F.col("spans")))
+    return rows.select(docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of packed windows."""
+    return packing.pack_documents(docs, packing.vocabulary())
+
 
-STAGES: list = []
+STAGES = [("toxicity", drop_toxic), ("exact_dedup", keep_one_copy), ("ngram_jaccard", keep_one_near), ("secret_scans", mask_secrets), ("packing", pack)]
 
-#: The method of the first stage is a trained classifier, which SQL can't express.
+#: The first stage is a trained classifier and the last a tokenizer's ids, which SQL can't express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

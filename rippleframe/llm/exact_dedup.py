@@ -54,8 +54,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         rows = rows.withColumn("salts", F.lit(None).cast("long"))
     rows = rows.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("doc_id"), "salts"), F.lit(0)).cast("long"))
 
-    rows = rows.withColumn("prefix", F.substring("norm", 1, 48)).repartitionByRange(p, "prefix", "h", "salt")
-    same = W.partitionBy("prefix", "h", "salt", "norm")
+    # The window's keys begin with the splitters' own, so it needs no exchange beyond theirs. A salt that
+    # is 0 throughout would fold into a constant and hide that.
+    keys = ["prefix", "h", *["salt"] * bool(hot)]
+    rows = rows.withColumn("prefix", F.substring("norm", 1, 48)).repartitionByRange(p, *keys)
+    same = W.partitionBy(*keys, "norm")
     best = same.orderBy("neg", F.col("doc_id").isNull(), "doc_id")
     out = rows.select(
         "doc_id", "neg", "salts", "salt", F.sha2("norm", 256).alias("text_sha256"),

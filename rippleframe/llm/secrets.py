@@ -15,7 +15,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, text_of
@@ -87,5 +87,21 @@ def findings(docs: DataFrame, ledger: DataFrame | None = None, id_col: str = "do
     return rows.join(new, "blob").drop("rule_version")
 
 
+def masked(text: Column, spans: Column, mask: str = "[secret]") -> Column:
+    """text with the union of its spans (kind:start:end, by start) replaced; text itself where spans is null."""
+    parts = F.transform(F.split(spans, ","), lambda s: F.struct(F.split(s, ":")[1].cast("int").alias("a"), F.split(s, ":")[2].cast("int").alias("b")))
+    empty = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"), F.lit(-1).alias("end"))
+
+    def step(state: Column, p: Column) -> Column:
+        new = p["a"] >= F.greatest(state["at"], state["end"])
+        out = F.when(new, F.concat(state["out"], text.substr(state["at"] + 1, p["a"] - state["at"]), F.lit(mask))).otherwise(state["out"])
+        at = F.greatest(state["at"], p["b"])
+        return F.struct(out.alias("out"), at.alias("at"), F.greatest(state["end"], p["b"]).alias("end"))
+
+    end = F.aggregate(parts, empty, step)
+    done = F.concat(end["out"], text.substr(end["at"] + 1, F.char_length(text)))
+    return F.when(spans.isNull() | (spans == ""), text).otherwise(done)
+
+
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings(table(spark, sf_dir, "documents")).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "blob")
