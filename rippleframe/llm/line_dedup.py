@@ -72,12 +72,16 @@ def edit_within(a: Column, b: Column, threshold: int) -> Column:
     m, n = F.char_length(a), F.char_length(b)
     band = F.lit((1 << (2 * t + 1)) - 1).cast("long")
     begin = F.struct(*[F.lit(sum(1 << (d + t) for d in range(e + 1))).cast("long").alias(f"r{e}") for e in range(t + 1)])
+    # Row j comes with its character and the band's: the texts are cut up once, not in every step.
+    none = F.lit(None).cast("string")
+    shifted = [F.concat(F.array_repeat(none, -d), y) if d < 0 else F.slice(y, d + 1, F.greatest(n, F.lit(1))) for d in range(-t, t + 1)]
+    size = F.greatest(m, F.lit(1))
+    turns = F.when(m > 0, F.arrays_zip(*[F.slice(c, 1, size).alias(f"c{i}") for i, c in enumerate([x, *shifted])]))
 
-    def step(state: Column, j: Column) -> Column:
+    def step(state: Column, row: Column) -> Column:
         match = F.lit(0).cast("long")
-        for d in range(-t, t + 1):
-            col = F.when(j + d >= 1, j + d).otherwise(F.lit(1 << 30))
-            match = match.bitwiseOR(F.when(F.try_element_at(x, j) == F.try_element_at(y, col), 1 << (d + t)).otherwise(0).cast("long"))
+        for i in range(2 * t + 1):
+            match = match.bitwiseOR(F.when(row["c0"] == row[f"c{i + 1}"], 1 << i).otherwise(0).cast("long"))
         rows: list[Column] = []
         for e in range(t + 1):
             row = state[f"r{e}"].bitwiseAND(match)
@@ -87,8 +91,8 @@ def edit_within(a: Column, b: Column, threshold: int) -> Column:
             rows.append(row)
         return F.struct(*[r.alias(f"r{e}") for e, r in enumerate(rows)])
 
-    turns = F.when(m > 0, F.sequence(F.lit(1), F.greatest(m, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-    last = F.aggregate(turns, begin, step)[f"r{t}"]
+    # A text without characters has no rows: its state is the first.
+    last = F.coalesce(F.aggregate(turns, begin, step), begin)[f"r{t}"]
     at = F.greatest(F.least(n - m + t, F.lit(2 * t)), F.lit(0))
     return (F.abs(n - m) <= t) & (F.getbit(last, at) == 1)
 
