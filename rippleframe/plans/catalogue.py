@@ -30,7 +30,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 LI = "li as (select cast(floor(l_quantity * 5) as int) as r, cast(round(l_discount * 1000) as int) as g, cast(round(l_tax * 1000) as int) as b from lineitem)"
 EMB = "emb as (select vec_id, label, i, cast(floor(cast(e as double) * 127) as int) as v from (select vec_id, label, cast(unnest(range(64)) as int) as i, unnest(embedding) as e from embeddings))"
 GRID = f"{EMB}, grid as (select vec_id, label, i % 8 as x, i // 8 as y, v from emb)"
- cast(DIM = "dim as (select p_partkey as image_id, 64 + p_partkey % 449 as w, 64 + (7 * p_partkey) % 321 as int) as h, cast(p_partkey % 5 as int) as xo, cast(p_partkey % 3 as int) as yo, cast(32 + p_partkey % 97 as int) as tw, cast(32 + p_partkey % 61 as int) as th, cast(p_size % 6 as int) as levels, cast(1 + p_partkey % 2 as int) as dx, cast(1 + p_partkey % 3 as int) as dy, cast(4 + p_partkey % 4 as int) as ppx, cast(4 + p_partkey % 3 as int) as ppy from part)"
+DIM = "dim as (select p_partkey as image_id, cast(64 + p_partkey % 449 as int) as w, cast(64 + (7 * p_partkey) % 321 as int) as h, cast(p_partkey % 5 as int) as xo, cast(p_partkey % 3 as int) as yo, cast(32 + p_partkey % 97 as int) as tw, cast(32 + p_partkey % 61 as int) as th, cast(p_size % 6 as int) as levels, cast(1 + p_partkey % 2 as int) as dx, cast(1 + p_partkey % 3 as int) as dy, cast(4 + p_partkey % 4 as int) as ppx, cast(4 + p_partkey % 3 as int) as ppy from part)"
 TILES = f"""{DIM}, tile as (select image_id, tile, levels, ppx, ppy, greatest((tile % tx) * tw, xo) as x0, greatest((tile // tx) * th, yo) as y0,
   least((tile % tx + 1) * tw, w) as x1, least((tile // tx + 1) * th, h) as y1
   from (select *, cast(unnest(range(tx * ty)) as int) as tile from (select *, (w + tw - 1) // tw as tx, (h + th - 1) // th as ty from dim)))"""
