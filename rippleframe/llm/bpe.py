@@ -17,7 +17,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import islice
 
@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import table, text_of
 
-#: Distinct chunks, and distinct words, that a worker keeps; only its memory and time depend on it.
-CACHE = 400_000
+#: Distinct chunks, and distinct words, that a worker keeps; only its memory and time depend on them.
+CHUNKS, WORDS = 300_000, 1_000_000
 
 
 def vocabulary() -> str:
@@ -91,15 +91,15 @@ def _merge_long(pieces: list[bytes], ranks: dict[bytes, int]) -> list[bytes]:
     return [p for p, ok in zip(pieces, alive, strict=True) if ok]
 
 
-_EDGE = re.compile(r"\s\s|^\s|\s\Z").search
+_EDGE = re.compile(r"\s\s|\A\s|\s\Z").search
+#: ASCII marks: one of the pattern's matches if nothing else stands among them.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def chunks_of(text: str) -> list[str]:
     """Cuts text before single spaces that stand between other characters than white space. No match
     of the pattern crosses such a cut, so the chunks can be encoded one by one."""
     parts = text.split(" ")
-    if not _EDGE(text):  # every space stands alone
-        return [parts[0], *[" " + p for p in parts[1:]]]
     out = parts[:1]
     for p in parts[1:]:
         last = out[-1]
@@ -110,15 +110,49 @@ def chunks_of(text: str) -> list[str]:
     return out
 
 
-def keep(cache: dict, key: str, value: object) -> None:
-    """The older half goes when the cache is full."""
+class Table(dict):
+    """Values of short strings, made when first asked for; the older half goes when the table is full."""
+
+    def __init__(self, make: Callable[[str], object], most: int):
+        self.make, self.most = make, most
+
+    def __missing__(self, key: str) -> object:
+        value = self.make(key)
+        keep(self, key, value, self.most)
+        return value
+
+
+def keep(cache: dict, key: str, value: object, most: int) -> None:
     if len(key) <= 64:
-        if len(cache) >= CACHE:
-            for old in list(islice(cache, CACHE // 2)):
+        if len(cache) >= most:
+            for old in list(islice(cache, most // 2)):
                 del cache[old]
         cache[key] = value
 
 
+class Chunks:
+    """Values of all chunks of a text in order, by way of tables of distinct chunks and words."""
+
+    def __init__(self, word: Callable[[str], object], chunk: Callable[[str], object]):
+        self.words, self.chunks = Table(word, WORDS), Table(chunk, CHUNKS)
+        #: Chunks by what follows their space.
+        self.spaced = Table(lambda rest: self.words[" " + rest] if rest.isalpha() else chunk(" " + rest), CHUNKS)
+
+    def of(self, text: str) -> list:
+        if _EDGE(text):
+            return list(map(self.chunks.__getitem__, chunks_of(text)))
+        first, *rest = text.split(" ")  # every space stands alone
+        return [self.chunks[first], *map(self.spaced.__getitem__, rest)]
+
+
+def matches(chunk: str, find: Callable[[str], list[str]]) -> list[str]:
+    """The pattern's matches in a chunk; letters with marks after them are seen without the pattern."""
+    bare = chunk.rstrip(_MARKS)
+    if bare.removeprefix(" ").isalpha():
+        return [bare, chunk[len(bare) :]] if len(bare) < len(chunk) else [bare]
+    return find(chunk)
+
+
 class Encoder:
     """Ids, and the bytes that they decode to, of whole texts."""
 
@@ -129,30 +163,20 @@ class Encoder:
         self.ranks = load_ranks(path)
         self.pieces = {i: b for b, i in self.ranks.items()}
         self.find = regex.compile(public_tokenizers.PATTERN).findall
-        self.chunks: dict[str, tuple[str, bytes]] = {}
-        self.words: dict[str, tuple[str, bytes]] = {}
+        self.chunks = Chunks(self.word, self.chunk)
 
     def word(self, word: str) -> tuple[str, bytes]:
-        if (got := self.words.get(word)) is None:
-            ids = [self.ranks[p] for p in merge(word.encode(), self.ranks)]
-            got = ",".join(map(str, ids)), b"".join(map(self.pieces.__getitem__, ids))
-            keep(self.words, word, got)
-        return got
+        ids = list(map(self.ranks.__getitem__, merge(word.encode(), self.ranks)))
+        return ",".join(map(str, ids)), b"".join(map(self.pieces.__getitem__, ids))
 
     def chunk(self, chunk: str) -> tuple[str, bytes]:
-        if (got := self.chunks.get(chunk)) is None:
-            words = self.find(chunk)
-            if len(words) == 1:
-                return self.word(chunk)
-            parts = list(map(self.word, words))
-            got = ",".join([p[0] for p in parts]), b"".join([p[1] for p in parts])
-            keep(self.chunks, chunk, got)
-        return got
+        parts = list(map(self.chunks.words.__getitem__, matches(chunk, self.find)))
+        return ",".join([p[0] for p in parts]), b"".join([p[1] for p in parts])
 
     def text(self, text: str) -> tuple[int, str, str]:
         if not text:
             return 0, hashlib.sha256().hexdigest(), hashlib.sha256().hexdigest()
-        got = list(map(self.chunk, chunks_of(text)))
+        got = self.chunks.of(text)
         ids = ",".join([g[0] for g in got]).encode()
         return ids.count(b",") + 1, hashlib.sha256(ids).hexdigest(), hashlib.sha256(b"".join([g[1] for g in got])).hexdigest()
 

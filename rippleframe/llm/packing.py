@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import heapq
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import chunks_of, keep
+from .bpe import Chunks, matches
 from .common import table, text_of
 
 CAPACITY = 2048
@@ -42,41 +43,50 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _byte_names() -> dict[int, str]:
+    """The printable character that stands for each byte in byte-level vocabularies."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class Ids:
-    """Little-endian ids of whole texts by the tokenizers library; distinct chunks are encoded once."""
+    """Little-endian ids of whole texts as the tokenizers library gives them; distinct words are encoded once.
+
+    Single matches of the pattern go through tiktoken with the ranks of the same file (its ids are in
+    the order of its merges), which gives the same ids in less time; all else goes through tokenizers itself.
+    """
 
     SPECIAL = "<|"  # texts that may hold a special token's string are encoded whole
 
     def __init__(self, path: str):
         import public_tokenizers
         import regex
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        byte = {c: b for b, c in _byte_names().items()}
+        ranks = {bytes(map(byte.__getitem__, t)): i for t, i in vocabulary.items() if t not in special}
+        self.single = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.find = regex.compile(public_tokenizers.PATTERN).findall
-        self.chunks: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.chunks = Chunks(self.word, self.chunk)
+
+    def whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def word(self, word: str) -> bytes:
+        return array("I", self.single(word)).tobytes()
 
-    def whole(self, texts: list[str]) -> list[bytes]:
-        got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.asarray(g.ids, "<u4").tobytes() for g in got]
+    def chunk(self, chunk: str) -> bytes:
+        if chunk.isprintable() and len(chunk.split()) == 1:
+            return b"".join(map(self.chunks.words.__getitem__, matches(chunk, self.find)))
+        return self.whole(chunk)
 
     def texts(self, texts: list[str]) -> list[bytes]:
-        cut = [[t] if self.SPECIAL in t else chunks_of(t) if t else [] for t in texts]
-        new = {c for t in cut for c in t if c not in self.chunks}
-        # A chunk without inner white space falls into the pattern's matches; others are encoded as they are.
-        words = {c: [c] if len(c.split()) > 1 or not c.isprintable() else self.find(c) for c in new}
-        missing = list({w for ws in words.values() for w in ws if w not in self.words})
-        own = dict(zip(missing, self.whole(missing), strict=True)) if missing else {}
-        known = self.words
-        chunks = {c: b"".join([own[w] if w in own else known[w] for w in ws]) for c, ws in words.items()}
-        look = self.chunks
-        out = [b"".join([chunks[c] if c in chunks else look[c] for c in t]) for t in cut]
-        for w, b in own.items():
-            keep(known, w, b)
-        for c, b in chunks.items():
-            keep(look, c, b)
-        return out
+        return [b"" if not t else self.whole(t) if self.SPECIAL in t else b"".join(self.chunks.of(t)) for t in texts]
 
 
 @lru_cache(2)

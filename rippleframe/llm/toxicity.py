@@ -40,6 +40,8 @@ DECAY, SPAN = 0.6, 8
 WIDTH = 24
 SYMBOLS = 64
 ROUNDS = 3
+#: Scores of words that a worker keeps.
+KNOWN = 500_000
 RIDGE = 1.0
 
 #: Single characters set apart, such as "a b.c-d": their letters make one word more.
@@ -254,7 +256,7 @@ class Scorer:
         known = self.known
         top = [max([fresh[w] if w in fresh else known[w] for w in ws], default=0.0) for ws in sets]
         for w, f in fresh.items():
-            keep(known, w, f)
+            keep(known, w, f, KNOWN)
         z = self.slope * (np.maximum(top, -1e6) + self.bias) + self.offset
         return (1 / (1 + np.exp(-np.clip(z, -50, 50)))).tolist()
 
