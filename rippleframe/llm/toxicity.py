@@ -124,11 +124,12 @@ def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
     phi[-1] = 0
     out = np.zeros((len(words), len(landmarks)))
     for rows, idx, g in by_length(words):
-        for lo in range(0, len(rows), 1000):
-            ids = at[idx[lo : lo + 1000]]
+        some = max(1, 4_000_000 // d)
+        for lo in range(0, len(rows), some):
+            ids = at[idx[lo : lo + some]]
             flat = (np.arange(len(ids))[:, None] * d + ids).ravel()
             x = np.bincount(flat, np.broadcast_to(g, ids.shape).ravel(), len(ids) * d).reshape(len(ids), d)
-            out[rows[lo : lo + 1000]] = x @ phi
+            out[rows[lo : lo + some]] = x @ phi
     return out
 
 
@@ -158,16 +159,14 @@ def fit(texts: list[tuple[list[str], int]]) -> tuple[np.ndarray, float, float, f
     rank = {w: odds(w) * np.log1p(in_t[w]) for w in in_t}
     order = sorted(rank, key=lambda w: (-rank[w], w))
     landmarks: list[str] = []
-    near = np.zeros(0)
     likely = [w for w in order if in_c[w] * 20 <= in_t[w]][: 8 * LANDMARKS]
     if likely:
-        k = kernel(likely, likely)
         taken: list[int] = []
         near = np.zeros(len(likely))
-        for i in range(len(likely)):
-            if near[i] < 0.8 * k[i, i] and len(taken) < LANDMARKS // 2:
+        for i, w in enumerate(likely):
+            if len(taken) < LANDMARKS // 2 and near[i] < 0.8 * kernel([w], [w])[0, 0]:
                 taken.append(i)
-                near = np.maximum(near, k[:, i])
+                near = np.maximum(near, kernel(likely, [w])[:, 0])
         landmarks = [likely[i] for i in taken]
     usual = [w for w, _ in sorted(in_c.items(), key=lambda x: (-x[1], x[0])) if len(w) > 3 and w not in landmarks]
     landmarks += usual[: LANDMARKS - len(landmarks)]
