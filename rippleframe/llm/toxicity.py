@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -148,10 +148,14 @@ def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = RIDGE)
     return v
 
 
-def fit(texts: list[tuple[list[str], int]]) -> tuple[np.ndarray, float, float, float] | None:
+def fit(texts: Iterable[tuple[str, int]]) -> tuple[np.ndarray, float, float, float] | None:
     """Table of subsequence weights, bias, and slope and offset of the probability."""
-    toxic = [sorted({v for w in ws for v in variants(w) if len(v) >= 3}) for ws, y in texts if y]
-    clean = [sorted({v for w in ws for v in variants(w) if len(v) >= 3}) for ws, y in texts if not y]
+    toxic: list[list[str]] = []
+    clean: list[list[str]] = []
+    same: dict[str, str] = {}  # one object for each distinct word
+    for text, y in texts:
+        words = sorted({same.setdefault(v, v) for w in text.split() for v in variants(w) if len(v) >= 3})
+        (toxic if y else clean).append(words)
     if not toxic or not clean:
         return None
     in_t, in_c = Counter(w for ws in toxic for w in ws), Counter(w for ws in clean for w in ws)
@@ -269,15 +273,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            words = [sorted(words_of(t)) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.list_(pa.string())), b.column("y")], ["words", "y"])
+            words = [" ".join(sorted(words_of(t))) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), b.column("y")], ["words", "y"])
 
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("doc_id is not null and y is not null")
     known = known.where(~is_held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("y").alias("y"))
     pick = lambda y, n: known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     chosen = pick(1, TRAIN_TOXIC).unionByName(pick(0, TRAIN_CLEAN))
     rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).join(F.broadcast(chosen), "doc_id")
-    got = rows.select("text", "y").mapInArrow(split, "words array<string>, y int").collect()
+    got = rows.select("text", "y").mapInArrow(split, "words string, y int").collect()
     return fit([(r["words"], r["y"]) for r in sorted(got, key=lambda r: (r["y"], r["words"]))])
 
 
