@@ -7,8 +7,9 @@ lengths with its substrings at the places that the multi-match rule leaves. Cand
 a banded bit-parallel edit distance: the band's columns are the bits of one long.
 
 A key that g lines share does not give g*g pairs. Lines first meet only the key's head; those found
-alike join components, and only keys that still hold several components compare the lines of different
-ones, so no link between components is missed.
+alike join components. The lines of keys that still hold several components meet those of others under
+finer keys: a matching segment leaves a rest with the same edits, which is split and probed again, so no
+link between components is missed.
 
 Of each component the line that comes first (smallest doc_id, then place) stays; all others are
 dropped, with their later copies. Shorter lines and empty ones always stay. Null texts count as empty;
@@ -19,6 +20,8 @@ the same places; both keep what is first.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -28,6 +31,8 @@ from .graph import components
 
 THRESHOLD = 1
 MIN_CHARS = 16
+#: Segments that must match, one in what the others leave, before lines of different components are compared.
+DEPTH = 3
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -60,6 +65,29 @@ def probe_keys(line: Column, length: Column, threshold: int) -> Column:
     return F.array(*out)
 
 
+def _rest(line: Column, begin: Column, size: Column) -> Column:
+    return F.concat(F.substring(line, F.lit(1), begin - 1), F.substring(line, begin + size, F.char_length(line)))
+
+
+def deep_keys(lines: DataFrame, threshold: int, delta: int | None, depth: int = DEPTH) -> DataFrame:
+    """id, label, key of lines (id, label, line): keys of several segments.
+
+    What a matching segment leaves holds the same edits, so it is split again, depth times. Without delta
+    the keys that a line is indexed by; else those that it probes lines shorter by delta with.
+    """
+    k, less = threshold + 1, delta or 0
+    out = lines.select("id", "label", F.xxhash64(F.char_length("line") - less).alias("key"), F.col("line").alias("rest"))
+    for _ in range(depth):
+        rest, parts = F.col("rest"), []
+        for i in range(k):
+            begin, size = _segments(F.char_length(rest) - less, k, i)
+            low, high = (0, 0) if delta is None else (max(-i, delta - (threshold - i)), min(i, delta + (threshold - i)))
+            for shift in range(low, high + 1):
+                parts.append(F.struct(F.xxhash64("key", F.lit(i), F.substring(rest, begin + shift, size)).alias("key"), _rest(rest, begin + shift, size).alias("rest")))
+        out = out.select("id", "label", F.explode(F.array(*parts)).alias("part")).select("id", "label", "part.key", "part.rest")
+    return out.select("id", "label", "key")
+
+
 def edit_within(a: Column, b: Column, threshold: int) -> Column:
     """Whether the edit distance of a and b is at most threshold, in a bit-parallel band of 2 t + 1 diagonals.
 
@@ -126,10 +154,11 @@ def line_classes(lines: DataFrame, threshold: int = THRESHOLD, min_chars: int =
     named = keys.select("id", "key", "indexed").join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
     named = cut(named, "named")
     mixed = named.groupBy("key").agg((F.min("label") < F.max("label")).alias("mixed")).where("mixed").select("key")
-    named = named.join(mixed, "key")
-    one = named.where("indexed").select("key", F.col("id").alias("u"), F.col("label").alias("lu"))
-    two = named.where("not indexed").select("key", F.col("id").alias("v"), F.col("label").alias("lv"))
-    more = one.join(two, (one["key"] == two["key"]) & (F.col("lu") != F.col("lv"))).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
+    named = named.join(mixed, "key").groupBy("id").agg(F.first("label").alias("label"))
+    named = cut(named.join(texts, "id"), "mixed")
+    one = deep_keys(named, threshold, None).toDF("u", "lu", "key")
+    two = reduce(DataFrame.unionByName, [deep_keys(named, threshold, d) for d in range(threshold + 1)]).toDF("v", "lv", "probe")
+    more = one.join(two, (F.col("key") == F.col("probe")) & (F.col("lu") != F.col("lv"))).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
     more = more.join(tried, ["a", "b"], "left_anti")
     links = cut(links.unionByName(_linked(more, texts, threshold)), "links")
     label = components(links).withColumnRenamed("node", "id")
