@@ -1,7 +1,6 @@
 """N-gram Jaccard join by vertical partitioning.
 
-Shingles have a global order: rare ones by hash, then those that many texts hold, by count. The order is
-cut into fragments. In each fragment the texts that share a shingle of their prefixes (the first
+Shingles have a global order: by how many texts hold them, then by hash. The order is cut into fragments. In each fragment the texts that share a shingle of their prefixes (the first
 n - ceil(t n) + 1 in the order) meet, their partial overlaps are counted, and the counts are summed
 per pair over the fragments. Length and position filters drop pairs that can't reach the threshold; no
 pair at or above it is lost. Pairs that remain are held against each other whole.
@@ -11,13 +10,14 @@ give g*g pairs: each text first meets only the group's heads (the smallest by tw
 alike join components. Only where a group still holds several components are the pairs between different
 components compared, so no link between components is missed.
 
-The counts that put frequent shingles last are a bounded table (HOT rows); it changes the cost, never
-the result. Null and empty texts have no shingles and are linked with nothing. Repeated rows are a
+The counts behind the order cover all texts in a sketch of fixed size (SKETCH places, a byte each when
+collected); shingles that share a place share a count, which changes the cost, never the result. Null and empty texts have no shingles and are linked with nothing. Repeated rows are a
 class. Sets are named by 64-bit hashes. Columns other than the id and the text are ignored.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,10 +32,11 @@ from .shingles import mix, shingle_sets, signature
 
 #: Similarity in percent.
 THRESHOLD = 80
-#: Rows of the table of frequent shingles, and how often one must occur in a part of so many shingles to count.
-HOT, HOT_LEAST, HOT_PART = 1 << 19, 4, 4_000_000
+#: Places of the sketch of counts, the rows that it travels in, and the shingles that a task holds before it adds them.
+SKETCH, CHUNKS, HELD = 1 << 22, 64, 1_000_000
 #: Prefix entries that a fragment holds on average.
 FRAGMENT = 600_000
+_DESCRIBED = ["doc_id", "n", "sig", "chunk", "counts"]
 _ENTRY = np.dtype([("token", "u1", 5), ("sig", "<i8"), ("n", "<u4"), ("place", "u1")])
 
 
@@ -47,32 +48,44 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[np.nda
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of texts: doc_id, n, sig. Rows of frequent shingles: token, k."""
+    """Rows of texts: doc_id, n, sig. Rows of the sketch: chunk, counts of its places."""
     seen: set[int] = set()
+    counts = np.zeros(SKETCH, np.uint32)
     parts: list[np.ndarray] = []
     held = 0
 
-    def frequent() -> pa.RecordBatch:
-        tokens, k = np.unique(np.concatenate(parts), return_counts=True)
-        some = k >= HOT_LEAST
-        n = int(some.sum())
-        return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(tokens[some].astype(np.int64)), pa.array(k[some])], ["doc_id", "n", "sig", "token", "k"])
+    def add() -> None:
+        place = np.concatenate(parts) & np.uint64(SKETCH - 1)
+        np.add(counts, np.bincount(place.astype(np.int64), minlength=SKETCH).astype(np.uint32), out=counts)
 
     for ids, sets in _sets(batches):
         sigs = [signature(s) if len(s) else None for s in sets]
         n = len(ids)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(sigs, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], ["doc_id", "n", "sig", "token", "k"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(sigs, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], _DESCRIBED)
         for s, x in zip(sigs, sets, strict=True):
             if s is not None and s not in seen:
                 seen.add(s)
                 parts.append(x)
                 held += len(x)
-        if held >= HOT_PART:
-            yield frequent()
+        if held >= HELD:
+            add()
             parts, held = [], 0
             seen.clear()
     if parts:
-        yield frequent()
+        add()
+    if counts.any():
+        rows = [zlib.compress(c.tobytes(), 1) for c in counts.reshape(CHUNKS, -1)]
+        none = pa.nulls(CHUNKS, pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, none, pa.array(range(CHUNKS), pa.int64()), pa.array(rows, pa.binary())], _DESCRIBED)
+
+
+def _levels(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """The sum of a chunk's counts as levels of an eighth of an octave."""
+    total = np.zeros(SKETCH // CHUNKS, np.uint64)
+    for c in rows["counts"]:
+        total += np.frombuffer(zlib.decompress(c), np.uint32)
+    level = np.minimum(8 * np.log2(1 + total.astype(np.float64)), 255).astype(np.uint8)
+    return pd.DataFrame({"chunk": [key[0]], "levels": [level.tobytes()]})
 
 
 def prefix_length(n: int, threshold: int = THRESHOLD) -> int:
@@ -85,9 +98,8 @@ def _fits(na: np.ndarray, pa_: np.ndarray, nb: np.ndarray, pb: np.ndarray, thres
     return (100 * np.minimum(na, nb) >= threshold * np.maximum(na, nb)) & (np.minimum(na - pa_, nb - pb) >= least)
 
 
-def _prefixes(hot: tuple[np.ndarray, np.ndarray], fragments: int, threshold: int):
+def _prefixes(levels: np.ndarray, fragments: int, threshold: int):
     """Rows (fragment, entries): the prefix entries of distinct sets, by fragment of the order."""
-    tokens, rank = hot
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -115,12 +127,8 @@ def _prefixes(hot: tuple[np.ndarray, np.ndarray], fragments: int, threshold: int
                 if not len(x) or (s := signature(x)) in seen:
                     continue
                 seen.add(s)
-                if len(tokens):
-                    at = np.minimum(np.searchsorted(tokens, x), len(tokens) - 1)
-                    often = tokens[at] == x
-                    if often.any():
-                        late = x[often][np.argsort(rank[at[often]], kind="stable")]
-                        x = np.concatenate([x[~often], late])
+                level = levels[x & np.uint64(SKETCH - 1)]
+                x = x[np.argsort(level, kind="stable")]
                 p = prefix_length(len(x), threshold)
                 held.append((x[:p], s, len(x)))
                 size += p
@@ -236,19 +244,19 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """doc_id, n_shingles, component_id: the smallest id among all texts reachable by links."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    seen = cut(rows.mapInArrow(_describe, "doc_id long, n long, sig long, token long, k long"), "sets")
-    texts = seen.where("token is null").select("doc_id", "n", "sig")
-    hot = seen.where("token is not null").groupBy("token").agg(F.sum("k").alias("k")).orderBy(F.desc("k"), "token").limit(HOT).collect()
-    tokens = np.array([r["token"] for r in hot], np.int64).astype(np.uint64)
-    rank = np.arange(len(hot), 0, -1, dtype=np.int64)
-    order = np.argsort(tokens)
-    sent = tokens[order], rank[order]
+    seen = cut(rows.mapInArrow(_describe, "doc_id long, n long, sig long, chunk long, counts binary"), "sets")
+    texts = seen.where("chunk is null").select("doc_id", "n", "sig")
+    sketch = seen.where("chunk is not null").select("chunk", "counts").groupBy("chunk").applyInPandas(_levels, "chunk long, levels binary")
+    levels = np.zeros((CHUNKS, SKETCH // CHUNKS), np.uint8)
+    for row in sketch.collect():  # at most CHUNKS rows
+        levels[row["chunk"]] = np.frombuffer(row["levels"], np.uint8)
+    levels = levels.ravel()
 
     sets = texts.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
     sets = cut(sets, "classes")
     held = sets.agg(F.sum("n")).first()[0] or 0
     fragments = max(1, partitions(spark), int(held * (100 - threshold) // 100 // FRAGMENT))
-    entries = rows.select("doc_id", "text").mapInArrow(_prefixes(sent, fragments, threshold), "fragment long, entries binary")
+    entries = rows.select("doc_id", "text").mapInArrow(_prefixes(levels, fragments, threshold), "fragment long, entries binary")
     met = cut(entries.groupBy("fragment").applyInPandas(_meet(threshold), _PAIRS), "met")
 
     pairs = met.where("a is not null").groupBy("a", "b").agg(F.sum("overlap").alias("overlap"))

@@ -194,6 +194,49 @@ def test_line_dedup(docs, none):
     assert line_dedup.judge_lines(none).count() == 0
 
 
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+@pytest.mark.parametrize("threshold", [1, 2])
+def test_lines_that_share_segments(spark, threshold):
+    """Many different lines with the same half: the finer keys lose no link."""
+    rng = random.Random(threshold)
+    lines = ["the same first half " + "".join(rng.choice("ab") for _ in range(9)) for _ in range(60)]
+    lines += [x[:i] + rng.choice(["", "z", x[i] + "q"]) + x[i + 1 :] for x in lines[:25] for i in [rng.randrange(len(x))]]
+    lines = sorted(set(lines), key=lambda x: rng.random())
+    rows = [(i, x) for i, x in enumerate(lines)]
+    got = {r.doc_id: r.kept for r in line_dedup.judge_lines(spark.createDataFrame(rows, "doc_id long, text string"), threshold=threshold).collect()}
+    label = list(range(len(lines)))
+    for i in range(len(lines)):
+        for j in range(i):
+            if label[i] != label[j] and edit_distance(lines[i], lines[j]) <= threshold:
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if x == old else x for x in label]
+    assert got == {i: label[i] == i for i in range(len(lines))}
+
+
+def test_jaccard_with_a_frequent_passage(spark):
+    """A passage in every text, over many partitions; near copies that differ in their own words."""
+    rng = random.Random(5)
+    passage = " ".join(f"common{i}" for i in range(60))
+    rows = []
+    for i in range(120):
+        own = [f"w{i}x{j}" for j in range(70)]
+        rows.append((len(rows), passage + " " + " ".join(own)))
+        if i % 3 == 0:
+            own[rng.randrange(70)] = "other"
+            rows.append((len(rows), " ".join(own) + " " + passage))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(16)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(frame).collect()}
+    assert got == brute_components(rows)
+
+
 def test_url_rules(spark):
     urls = ["http://a.example.NET/en/1", "http://x.net/", "http://example.com/de/1", "http://b.org/fr/", "http://b.org/en", "nothing", None, "http://notexample.com/de/x?y#z", "http://casino-win.example.org/1"]
     t = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)], "page_id long, url string, host string")
