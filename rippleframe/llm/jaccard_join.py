@@ -6,8 +6,8 @@ per pair over the fragments. Length and position filters drop pairs that can't r
 pair at or above it is lost. Pairs that remain are held against each other whole.
 
 Texts with the same set are one class from the start. A group of g texts that share a shingle does not
-give g*g pairs: each text first meets only the group's heads (the smallest by two hashes), and those found
-alike join components. Only where a group still holds several components are the pairs between different
+give g*g pairs: each text first meets only the group's heads (the one whose shingles are the most common, which
+has the fewest edits of its own, and the smallest by a hash), and those found alike join components. Only where a group still holds several components are the pairs between different
 components compared, so no link between components is missed.
 
 The counts behind the order cover all texts in a sketch of fixed size (SKETCH places, a byte each when
@@ -37,7 +37,7 @@ SKETCH, CHUNKS, HELD = 1 << 22, 64, 1_000_000
 #: Prefix entries that a fragment holds on average.
 FRAGMENT = 600_000
 _DESCRIBED = ["doc_id", "n", "sig", "chunk", "counts"]
-_ENTRY = np.dtype([("token", "u1", 5), ("sig", "<i8"), ("n", "<u4"), ("place", "u1")])
+_ENTRY = np.dtype([("token", "u1", 5), ("sig", "<i8"), ("n", "<u4"), ("place", "u1"), ("centre", "<u2")])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[np.ndarray]]]:
@@ -103,15 +103,16 @@ def _prefixes(levels: np.ndarray, fragments: int, threshold: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        held: list[tuple[np.ndarray, int, int]] = []
+        held: list[tuple[np.ndarray, int, int, int]] = []
         size = 0
 
         def give() -> pa.RecordBatch:
-            lengths = [len(t) for t, _, _ in held]
-            token = np.concatenate([t for t, _, _ in held])
+            lengths = [len(t) for t, *_ in held]
+            token = np.concatenate([t for t, *_ in held])
             entry = np.zeros(len(token), _ENTRY)
-            entry["sig"] = np.repeat([s for _, s, _ in held], lengths)
-            entry["n"] = np.repeat([n for _, _, n in held], lengths)
+            entry["sig"] = np.repeat([s for _, s, _, _ in held], lengths)
+            entry["n"] = np.repeat([n for _, _, n, _ in held], lengths)
+            entry["centre"] = np.repeat([c for *_, c in held], lengths)
             at = np.concatenate([np.arange(k) for k in lengths])
             entry["place"] = at * 255 // np.maximum(entry["n"], 1)
             # Within a fragment the low 40 bits name a shingle; others that share them only cost a comparison.
@@ -130,7 +131,7 @@ def _prefixes(levels: np.ndarray, fragments: int, threshold: int):
                 level = levels[x & np.uint64(SKETCH - 1)]
                 x = x[np.argsort(level, kind="stable")]
                 p = prefix_length(len(x), threshold)
-                held.append((x[:p], s, len(x)))
+                held.append((x[:p], s, len(x), int(256 * level.mean())))
                 size += p
             if size >= 1_000_000:
                 yield give()
@@ -153,16 +154,16 @@ def _meet(threshold: int):
         token[:, :5] = entry["token"]
         token = token.view(np.uint64).ravel()
         sig, n = entry["sig"].astype(np.int64), entry["n"].astype(np.int64)
-        place = entry["place"].astype(np.int64) * n // 255
+        place, centre = entry["place"].astype(np.int64) * n // 255, entry["centre"].astype(np.int64)
         order = np.lexsort((sig, token))
-        token, sig, n, place = token[order], sig[order], n[order], place[order]
+        token, sig, n, place, centre = token[order], sig[order], n[order], place[order], centre[order]
         keep = np.concatenate([[True], (token[1:] != token[:-1]) | (sig[1:] != sig[:-1])])
-        token, sig, n, place = token[keep], sig[keep], n[keep], place[keep]
+        token, sig, n, place, centre = token[keep], sig[keep], n[keep], place[keep], centre[keep]
         first = np.concatenate([[True], token[1:] != token[:-1]])
         group = np.cumsum(first) - 1
         size = np.bincount(group)
         some = size[group] > 1
-        token, sig, n, place, group = token[some], sig[some], n[some], place[some], group[some]
+        token, sig, n, place, group, centre = token[some], sig[some], n[some], place[some], group[some], centre[some]
         if not len(token):
             return pd.DataFrame(columns=["a", "b", "overlap", "run", "sig", "n", "place"])
         _, group = np.unique(group, return_inverse=True)
@@ -170,9 +171,8 @@ def _meet(threshold: int):
         size = np.diff(np.concatenate([begin, [len(group)]]))
         pairs = []
         with np.errstate(over="ignore"):
-            for seed in (0x1234567, 0x89ABCDE):
-                h = mix(sig.astype(np.uint64) ^ np.uint64(seed))
-                by = np.lexsort((h, group))
+            h = mix(sig.astype(np.uint64) ^ np.uint64(0x1234567))
+            for by in (np.lexsort((h, -centre, group)), np.lexsort((h, group))):
                 head = by[begin][group]
                 ok = (sig[head] != sig) & _fits(n, place, n[head], place[head], threshold)
                 pairs.append(np.stack([np.minimum(sig[ok], sig[head][ok]), np.maximum(sig[ok], sig[head][ok])], 1))
@@ -285,7 +285,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     runs = runs.join(label.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
     runs = cut(runs, "runs")
     mixed = runs.groupBy("run").agg((F.min("label") != F.max("label")).alias("mixed")).where("mixed").select("run")
-    cross = runs.join(mixed, "run").groupBy("run").applyInPandas(_cross(threshold), "a long, b long").distinct()
+    cross = runs.join(mixed, "run").repartition(partitions(spark), "run").groupBy("run").applyInPandas(_cross(threshold), "a long, b long").distinct()
     # Pairs of two are tried already, and so are those with a head; groups of two hold just such a pair.
     small = pairs.select("a", "b").join(label.withColumnRenamed("node", "a").withColumnRenamed("label", "la"), "a", "left")
     small = small.join(label.withColumnRenamed("node", "b").withColumnRenamed("label", "lb"), "b", "left")
