@@ -247,6 +247,16 @@ def test_url_rules(spark):
     assert url_filters.judge_urls(t.limit(0)).count() == 0
 
 
+def test_url_seeds_in_the_registered_domain(spark):
+    bad = ["http://casino.com/", "https://www.porn.org/", "http://free-bets.com", "http://u@poker.co.uk:80/x", "http://spam/"]
+    good = ["http://news.com/casino", "http://news.org/", "http://x.casinos.com/", "http://b.ads/", "http://com.co.uk/"]
+    urls = bad + good + [f"http://w{'abcdefghij'[i % 10] * 3}.{e}/p" for i in range(3000) for e in ("com", "org", "co.uk")]
+    t = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: r.verdict for r in url_filters.judge_urls(t).collect()}
+    assert [got[i] for i in range(len(bad))] == ["block"] * len(bad)
+    assert {got[i] for i in range(len(bad), len(urls))} == {"allow"}
+
+
 def test_html(spark):
     page = "<html><head><title>t</title></head><body><nav><a>menu</a></nav><article><h1>A &amp; B</h1><p>one<br>two <b>three</b><p>four<div class='ad'>buy</div><div id=comments>hm</div></article><script>var a='</p>'</script><footer>f</footer>"
     rows = [(1, "http://h.x/1", page), (2, "http://h.x/2", "<div class=sidebar>s</div><div><p>free text</p></div>"), (3, None, None), (4, "http://i.x", "just < text"), (1, "http://h.x/1", page)]
