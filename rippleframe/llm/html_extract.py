@@ -2,11 +2,12 @@
 
 Pages of a host are reduced to streams of block tags and text slots, in which adjacent repeats are
 folded into repeated groups. Distinct streams of a host are aligned one after another: what both have
-stays, what one lacks becomes an optional group. The result is the host's wrapper, and its text slots
-(paths of block tags) carry statistics over all pages of the host. A slot holds main text when it lies
-in the wrapper's article and in no menu, header, footer, sidebar, notice, advert, form or comment
-part; without an article element, the article is the smallest part that holds most of the text that
-is neither of those, nor links, nor the same on all pages.
+stays, what one lacks becomes an optional group. The result is the host's wrapper. A page's text slots
+(paths of block tags) hold main text when they lie in the page's article and in no menu, header, footer,
+sidebar, notice, advert, form or comment part. Pages without an article element are parted into layouts
+by the part that holds most of their free text, and slots carry statistics over all pages of a host's
+layout: its article is the smallest part that holds most of the text that is neither of those, nor
+links, nor the same on all pages of the layout or host.
 
 Streams and slots are added up before they meet: within a batch, then by host. The wrappers of a host
 are built from the distinct streams in up to SALTS parts first, so that no task sees all pages.
@@ -18,6 +19,7 @@ row. Columns other than the id, url and html are ignored; an empty table gives a
 from __future__ import annotations
 
 import difflib
+import functools
 import html as entities
 import json
 import re
@@ -235,21 +237,25 @@ def host_of(url: str | None) -> str:
     return host.translate({c: c + 32 for c in range(65, 91)})
 
 
-_ROWS = "host string, stream string, path string, apart boolean, pages long, chars long, links long, low long, high long"
+_ROWS = "host string, stream string, layout string, path string, apart boolean, pages long, chars long, links long, low long, high long"
 
 
 def _observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of streams and of slots, by host, added up within a batch."""
     for b in batches:
         streams: dict[tuple, int] = {}
+        layouts: dict[tuple, int] = {}
         slots: dict[tuple, list] = {}
         for url, source in zip(b.column("url").to_pylist(), b.column("html").to_pylist(), strict=True):
             host, page = host_of(url), Page(source)
             key = (host, json.dumps(fold(page.stream)))
             streams[key] = streams.get(key, 0) + 1
+            if (layout := layout_of(page)) is None:
+                continue
+            layouts[host, layout] = layouts.get((host, layout), 0) + 1
             mine: dict[tuple, list] = {}
             for path, text, apart, links in page.slots:
-                got = mine.setdefault((host, path, apart), [0, 0, 0])
+                got = mine.setdefault((host, layout, path, apart), [0, 0, 0])
                 got[0] += len(text)
                 got[1] += links
                 got[2] = zlib.crc32(text.encode("utf-8", "replace"), got[2])
@@ -258,9 +264,10 @@ def _observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     slots[k] = [s[0] + 1, s[1] + chars, s[2] + links, min(s[3], digest), max(s[4], digest)]
                 else:
                     slots[k] = [1, chars, links, digest, digest]
-        rows = [(h, s, None, None, n, 0, 0, 0, 0) for (h, s), n in streams.items()]
-        rows += [(h, None, p, a, *v) for (h, p, a), v in slots.items()]
-        kinds = [pa.string(), pa.string(), pa.string(), pa.bool_(), *[pa.int64()] * 5]
+        rows = [(h, s, None, None, None, n, 0, 0, 0, 0) for (h, s), n in streams.items()]
+        rows += [(h, None, w, None, None, n, 0, 0, 0, 0) for (h, w), n in layouts.items()]
+        rows += [(h, None, w, p, a, *v) for (h, w, p, a), v in slots.items()]
+        kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.bool_(), *[pa.int64()] * 5]
         names = [c.split()[0] for c in _ROWS.split(", ")]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
@@ -275,6 +282,7 @@ def _join_streams(rows: pd.DataFrame) -> pd.DataFrame:
     return out.drop(columns="salt", errors="ignore")
 
 
+@functools.lru_cache(100_000)
 def _article(path: str) -> int:
     """How deep in the path the article begins; -1 without an article."""
     labels = [x.split(".") for x in path.split("/")]
@@ -285,21 +293,34 @@ def _article(path: str) -> int:
     return -1
 
 
-def choose_slots(slots: list[tuple], pages: int) -> list[str]:
-    """Paths of the slots that hold main text, of (path, apart, pages, chars, links, low, high)."""
-    free = [s for s in slots if not s[1]]
-    named = [s for s in free if _article(s[0]) >= 0]
-    if named:
-        return [s[0] for s in named]
-    same = lambda s: pages >= 3 and s[2] == pages and s[5] == s[6]
-    told = [s for s in free if s[4] * 2 < s[3] and not same(s)] or free
-    total = sum(s[3] for s in told)
+def _smallest(parts: list[tuple[str, int]]) -> tuple:
+    """The deepest part, as labels, that holds MOST of the characters, of (path, characters)."""
+    total = sum(n for _, n in parts)
     under: dict[tuple, int] = {}
-    for s in told:
-        labels = tuple(s[0].split("/"))
+    for path, n in parts:
+        labels = tuple(path.split("/"))
         for i in range(1, len(labels) + 1):
-            under[labels[:i]] = under.get(labels[:i], 0) + s[3]
-    best = max((p for p, n in under.items() if n >= MOST * total and p[-1].split(".")[0] not in ("p", "li", "h1", "h2", "h3")), key=lambda p: (len(p), under[p]), default=())
+            under[labels[:i]] = under.get(labels[:i], 0) + n
+    return max((p for p, n in under.items() if n >= MOST * total and p[-1].split(".")[0] not in ("p", "li", "h1", "h2", "h3")), key=lambda p: (len(p), under[p]), default=())
+
+
+def layout_of(page: Page) -> str | None:
+    """The path of the part with most of the page's free text that isn't links; None for a page with an article."""
+    free = [s for s in page.slots if not s[2]]
+    if any(_article(s[0]) >= 0 for s in free):
+        return None
+    return "/".join(_smallest([(s[0], len(s[1])) for s in free if s[3] * 2 < len(s[1])]))
+
+
+def choose_slots(slots: list[tuple], pages: int, everywhere: frozenset[str] = frozenset()) -> list[str]:
+    """Paths of a layout's slots that hold main text, of (path, apart, pages, chars, links, low, high).
+
+    everywhere: paths that hold the same on all pages of the host.
+    """
+    free = [s for s in slots if not s[1]]
+    same = lambda s: s[0] in everywhere or pages >= 3 and s[2] == pages and s[5] == s[6]
+    told = [s for s in free if s[4] * 2 < s[3] and not same(s)] or free
+    best = _smallest([(s[0], s[3]) for s in told])
     return [s[0] for s in told if tuple(s[0].split("/"))[: len(best)] == best]
 
 
@@ -307,23 +328,35 @@ def _finish(rows: pd.DataFrame) -> pd.DataFrame:
     made = _join_streams(rows)
     wrapper = made[made["stream"].notna()].iloc[0]
     part = made[made["stream"].isna()]
-    slots = [tuple(r) for r in part[["path", "apart", "pages", "chars", "links", "low", "high"]].itertuples(index=False)]
-    return pd.DataFrame({"host": [wrapper["host"]], "wrapper": [wrapper["stream"]], "slots": [json.dumps(sorted(choose_slots(slots, int(wrapper["pages"]))))]})
+    counts = {r.layout: int(r.pages) for r in part[part["path"].isna()].itertuples(index=False)}
+    layouts: dict[str, list[tuple]] = {}
+    paths: dict[str, list[int]] = {}
+    for r in part[part["path"].notna()].itertuples(index=False):
+        layouts.setdefault(r.layout, []).append((r.path, r.apart, r.pages, r.chars, r.links, r.low, r.high))
+        if not r.apart:
+            n, low, high = paths.get(r.path, (0, r.low, r.high))
+            paths[r.path] = [n + r.pages, min(low, r.low), max(high, r.high)]
+    total = sum(counts.values())
+    everywhere = frozenset(p for p, (n, low, high) in paths.items() if n == total >= 3 and low == high)
+    chosen = {w: sorted(choose_slots(s, counts[w], everywhere)) for w, s in sorted(layouts.items())}
+    return pd.DataFrame({"host": [wrapper["host"]], "wrapper": [wrapper["stream"]], "slots": [json.dumps(chosen)]})
 
 
 def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """host, wrapper (JSON: labels, "/" an end, "#" a slot, ["+", ...] repeated, ["?", ...] optional), slots."""
+    """host, wrapper (JSON: labels, "/" an end, "#" a slot, ["+", ...] repeated, ["?", ...] optional), slots (JSON: layout to paths)."""
     rows = pages.select(F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-    seen = rows.mapInArrow(_observe, _ROWS).groupBy("host", "stream", "path", "apart").agg(
+    seen = rows.mapInArrow(_observe, _ROWS).groupBy("host", "stream", "layout", "path", "apart").agg(
         F.sum("pages").alias("pages"), F.sum("chars").alias("chars"), F.sum("links").alias("links"), F.min("low").alias("low"), F.max("high").alias("high")
     )
-    salted = seen.withColumn("salt", F.pmod(F.xxhash64("stream", "path"), F.lit(SALTS)))
+    salted = seen.withColumn("salt", F.pmod(F.xxhash64("stream", "layout", "path"), F.lit(SALTS)))
     some = salted.groupBy("host", "salt").applyInPandas(_join_streams, _ROWS)
     return some.groupBy("host").applyInPandas(_finish, "host string, wrapper string, slots string")
 
 
-def main_text(page: Page, slots: set[str]) -> str:
-    chosen = [text for path, text, apart, _ in page.slots if not apart and path in slots]
+def main_text(page: Page, slots: dict[str, set[str]]) -> str:
+    layout = layout_of(page)
+    mine = slots.get(layout, set())
+    chosen = [text for path, text, apart, _ in page.slots if not apart and (_article(path) >= 0 if layout is None else path in mine)]
     return "\n".join(chosen)
 
 
@@ -336,14 +369,14 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     rows = rows.withColumn("host", host).join(wrappers.select("host", "slots"), "host", "left").select("page_id", "url", "html", "slots")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, set[str]] = {}
+        known: dict[str, dict[str, set[str]]] = {}
         for b in batches:
             texts = []
             for source, slots in zip(b.column("html").to_pylist(), b.column("slots").to_pylist(), strict=True):
                 if slots not in known:
                     if len(known) > 10_000:
                         known.clear()
-                    known[slots] = set(json.loads(slots or "[]"))
+                    known[slots] = {w: set(p) for w, p in json.loads(slots or "{}").items()}
                 texts.append(main_text(Page(source), known[slots]))
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 

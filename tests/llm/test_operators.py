@@ -257,6 +257,18 @@ def test_url_seeds_in_the_registered_domain(spark):
     assert {got[i] for i in range(len(bad), len(urls))} == {"allow"}
 
 
+def test_html_layouts_of_a_host(spark):
+    """Pages with and without an article, and two layouts without one, on the same host."""
+    foot = "<div class=legal><p>all rights</p></div>"
+    rows = [(1, "http://h.x/1", "<article><p>one</p></article>"), (2, "http://h.x/2", "<div class=sidebar>s</div><div><p>free text</p></div>")]
+    rows += [(10 + i, "http://two.x/", f"<body><div class=story><p>text of story number {i}</p><p>and more of it {i}</p></div>{foot}") for i in range(8)]
+    rows += [(20 + i, "http://two.x/", f"<body><section class=entry><p>entry number {i} has this text</p></section>{foot}") for i in range(4)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1] == "one" and got[2] == "free text"
+    assert all(got[10 + i] == f"text of story number {i}\nand more of it {i}" for i in range(8))
+    assert all(got[20 + i] == f"entry number {i} has this text" for i in range(4))
+
+
 def test_html(spark):
     page = "<html><head><title>t</title></head><body><nav><a>menu</a></nav><article><h1>A &amp; B</h1><p>one<br>two <b>three</b><p>four<div class='ad'>buy</div><div id=comments>hm</div></article><script>var a='</p>'</script><footer>f</footer>"
     rows = [(1, "http://h.x/1", page), (2, "http://h.x/2", "<div class=sidebar>s</div><div><p>free text</p></div>"), (3, None, None), (4, "http://i.x", "just < text"), (1, "http://h.x/1", page)]
