@@ -12,7 +12,7 @@ finer keys: a matching segment leaves a rest with the same edits, which is split
 link between components is missed.
 
 Of each component the line that comes first (smallest doc_id, then place) stays; all others are
-dropped, with their later copies. Shorter lines and empty ones always stay. Null texts count as empty;
+dropped, with their later copies. Of equal shorter lines the first stays; empty lines always stay. Null texts count as empty;
 a null doc_id comes first. Distinct lines are named by 64-bit hashes. Columns other than the id and the
 text are ignored; an empty table gives an empty result. Repeated rows hold copies of the same lines at
 the same places; both keep what is first.
@@ -171,8 +171,10 @@ def line_classes(lines: DataFrame, threshold: int = THRESHOLD, min_chars: int =
 def judge_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
     """doc_id, place (from 0), kept: one row per line of each text."""
     lines = lines_of(docs, id_col, text_col)
-    classes = cut(line_classes(lines, threshold, min_chars), "line-classes")
-    rows = lines.select("doc_id", "place", F.when(F.char_length("line") >= min_chars, F.xxhash64("line")).alias("id"))
+    short = lines.where((F.col("line") != "") & (F.char_length("line") < min_chars)).groupBy(F.xxhash64("line").alias("id"))
+    short = short.agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("id", "first")
+    classes = cut(line_classes(lines, threshold, min_chars).unionByName(short), "line-classes")
+    rows = lines.select("doc_id", "place", F.when(F.col("line") != "", F.xxhash64("line")).alias("id"))
     rows = rows.join(classes, "id", "left")
     return rows.select("doc_id", "place", (F.col("first").isNull() | F.struct("doc_id", "place").eqNullSafe(F.col("first"))).alias("kept"))
 

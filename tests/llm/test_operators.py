@@ -194,6 +194,12 @@ def test_line_dedup(docs, none):
     assert line_dedup.judge_lines(none).count() == 0
 
 
+def test_equal_short_lines(spark):
+    rows = [(2, "Les.\n\nother\n Les. "), (1, "x\n\nLes."), (3, "Les\nx"), (None, "other")]
+    got = {(r.doc_id, r.place): r.kept for r in line_dedup.judge_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {k for k, v in got.items() if not v} == {(2, 0), (2, 3), (2, 2), (3, 1)} and len(got) == 10
+
+
 def edit_distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
