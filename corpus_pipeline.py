@@ -2,36 +2,49 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last
 return the columns of documents; run() writes each stage as Parquet in the shared folder and rereads it.
-Rows with the same doc_id share their fate in the first stages, as their texts are judged by id.
+Rows are judged one by one: the first stages name them by a key of their own, as ids may be null or repeated.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rippleframe.llm import exact_dedup, jaccard_join, packing, secrets, toxicity
 from rippleframe.llm.common import cut, table
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with a key _row for each row, written once so that all readers see the same keys."""
+    return cut(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with a score of 0.5 or more go. Labels are those of the corpus' labels table."""
-    scores = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
-    gone = scores.where("predicted = 1").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    rows = keyed(docs)
+    scores = toxicity.score(rows, toxicity.train(docs, table(spark, sf_dir, "labels")), "_row")
+    gone = scores.where("predicted = 1").select(F.col("doc_id").alias("_row"))
+    return rows.join(gone, "_row", "left_anti").select(docs.columns)
 
 
 def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts one row stays."""
-    kept = exact_dedup.exact_groups(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").select(docs.columns)
+    """Of equal texts one row stays: the longest, then the smallest doc_id; a null one comes last."""
+    rows = keyed(docs)
+    groups = exact_dedup.exact_groups(rows.select(_order().alias("key"), "text"), "key")
+    kept = groups.where("kept").select(F.col("doc_id._row").alias("_row"))
+    return rows.join(kept, "_row", "left_semi").select(docs.columns)
 
 
 def keep_one_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts that links join, the one with the smallest doc_id stays."""
-    groups = jaccard_join.jaccard_components(docs)
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Of texts that links join, the one with the smallest doc_id stays; a null one comes last."""
+    rows = keyed(docs)
+    groups = cut(jaccard_join.jaccard_components(rows, "_row").select(F.col("doc_id").alias("_row"), "component_id"), "near")
+    first = groups.join(rows.select("_row", "doc_id"), "_row").groupBy("component_id").agg(F.min(_order()).alias("first"))
+    return rows.join(first.select("first._row"), "_row", "left_semi").select(docs.columns)
+
+
+def _order() -> Column:
+    return F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row")
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

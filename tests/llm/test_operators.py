@@ -306,3 +306,38 @@ def test_toxicity(spark, none):
     assert sum(p == y for p, y in held) >= 0.97 * len(held)
     assert got[1000].predicted == got[1001].predicted == 0 and got[1002].predicted == 1
     assert toxicity.score(none, None).count() == 0 and {r.score for r in toxicity.score(docs, None).collect()} == {0.0}
+
+
+def test_pipeline_judges_rows(spark, tmp_path):
+    """Repeated rows, null ids and texts that share an id, against brute force."""
+    from collections import Counter
+
+    import corpus_pipeline
+
+    texts = [prose(30) for _ in range(300)]
+    bad = [i for i in range(300) if i % 4 == 0]
+    for i in bad:
+        texts[i] += " blockhead dunce numbskull"
+    rows = list(enumerate(texts))
+    spark.createDataFrame([(i, int(i in bad)) for i in range(300)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    clean = [(None, prose(30)), (4, prose(30)), (901, prose(30))]
+    toxic = [(i, prose(30) + " blockhead dunce numbskull") for i in (None, 901)]
+    frame = lambda r: spark.createDataFrame(r, "doc_id long, text string").repartition(3)
+    got = Counter(map(tuple, corpus_pipeline.drop_toxic(spark, frame(rows + clean + toxic + clean), str(tmp_path)).collect()))
+    assert all(got[r] == 2 for r in clean) and not any(got[r] for r in toxic)
+
+    # The id 1 belongs to a kept row and a lesser copy; equal rows and null ids are copies too.
+    copies = [(1, "a b"), (1, "a b"), (1, "c d"), (0, "c  d"), (None, "e f"), (None, "e f"), (5, "g h"), (None, "g h"), (5, None), (None, "")]
+    want = [(1, "a b"), (0, "c  d"), (None, "e f"), (5, "g h"), (5, None)]
+    assert Counter(map(tuple, corpus_pipeline.keep_one_copy(spark, frame(copies), str(tmp_path)).collect())) == Counter(want)
+
+    words = [f"w{i}" for i in range(60)]
+    near = lambda k, base="": " ".join([base + w for w in words] + [f"end{k}"])
+    rows = [(3, near(0)), (3, near(0)), (None, near(1)), (2, near(2)), (7, near(0, "x")), (3, near(1, "x")), (None, near(0, "y")), (None, near(0, "y")), (3, "alone in the world it stands"), (None, None), (8, "")]
+    label = brute_components(list(enumerate(t for _, t in rows)))
+    groups = {}
+    for k, (i, _) in enumerate(rows):
+        groups.setdefault(label[k][1], []).append((i is None, i or 0))
+    got = corpus_pipeline.keep_one_near(spark, frame(rows), str(tmp_path)).collect()
+    assert Counter((r.doc_id is None, r.doc_id or 0) for r in got) == Counter(min(g) for g in groups.values())
+    assert corpus_pipeline.keep_one_near(spark, frame(rows).limit(0), str(tmp_path)).count() == 0
