@@ -1,8 +1,8 @@
-"""Main text of pages through inferred wrappers (union-free regular expressions).
+"""Main text of pages by statistics of tag paths, beside inferred wrappers (union-free regular expressions).
 
 Pages of a host are reduced to streams of block tags and text slots, in which adjacent repeats are
 folded into repeated groups. Distinct streams of a host are aligned one after another: what both have
-stays, what one lacks becomes an optional group. The result is the host's wrapper. A page's text slots
+stays, what one lacks becomes an optional group. The result is the host's wrapper; it doesn't decide what is kept. A page's text slots
 (paths of block tags) hold main text when they lie in the page's article and in no menu, header, footer,
 sidebar, notice, advert, form or comment part. Pages without an article element are parted into layouts
 by the part that holds most of their free text, and slots carry statistics over all pages of a host's
