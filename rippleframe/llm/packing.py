@@ -14,6 +14,7 @@ an empty table gives no pieces. Columns other than the id and the text are ignor
 from __future__ import annotations
 
 import heapq
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -25,7 +26,6 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import Chunks, matches
 from .common import table, text_of
 
 CAPACITY = 2048
@@ -50,18 +50,25 @@ def _byte_names() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+#: Characters whose classes (letter, number, white space) every version of the Unicode tables agrees on:
+#: ASCII without rare controls, Latin, Cyrillic, usual punctuation, common Han characters.
+_AGREED = re.compile("[^\t\n\r\x20-\x7e\xa1-\u024f\u0400-\u0481\u048a-\u052f\u2010-\u2027\u2030-\u205e\u20ac\u4e00-\u9fa5]").search
+
+_CONTROL = re.compile("[^\t\n\r\x20-\x7e]").search
+
+
 class Ids:
-    """Little-endian ids of whole texts as the tokenizers library gives them; distinct words are encoded once.
+    """Little-endian ids of whole texts as the tokenizers library gives them.
 
-    Single matches of the pattern go through tiktoken with the ranks of the same file (its ids are in
-    the order of its merges), which gives the same ids in less time; all else goes through tokenizers itself.
+    A text goes whole through tiktoken with the ranks of the same file (its ids are in the order of its
+    merges), which gives the same ids in less time, where the two libraries' pattern matchers can't
+    differ; all else goes through tokenizers itself, as do texts that may hold a special token's string.
     """
 
-    SPECIAL = "<|"  # texts that may hold a special token's string are encoded whole
+    SPECIAL = "<|"
 
     def __init__(self, path: str):
         import public_tokenizers
-        import regex
         import tiktoken
         from tokenizers import Tokenizer
 
@@ -70,23 +77,15 @@ class Ids:
         special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
         byte = {c: b for b, c in _byte_names().items()}
         ranks = {bytes(map(byte.__getitem__, t)): i for t, i in vocabulary.items() if t not in special}
-        self.single = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.find = regex.compile(public_tokenizers.PATTERN).findall
-        self.chunks = Chunks(self.word, self.chunk)
-
-    def whole(self, text: str) -> bytes:
-        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def word(self, word: str) -> bytes:
-        return array("I", self.single(word)).tobytes()
+        self.quick = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
 
-    def chunk(self, chunk: str) -> bytes:
-        if chunk.isprintable() and len(chunk.split()) == 1:
-            return b"".join(map(self.chunks.words.__getitem__, matches(chunk, self.find)))
-        return self.whole(chunk)
+    def text(self, text: str) -> bytes:
+        if self.SPECIAL in text or not text.isascii() and _AGREED(text) or text.isascii() and _CONTROL(text):
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        return array("I", self.quick(text)).tobytes()
 
     def texts(self, texts: list[str]) -> list[bytes]:
-        return [b"" if not t else self.whole(t) if self.SPECIAL in t else b"".join(self.chunks.of(t)) for t in texts]
+        return [self.text(t) if t else b"" for t in texts]
 
 
 @lru_cache(2)
