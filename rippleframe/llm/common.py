@@ -55,5 +55,37 @@ def discard(df: DataFrame) -> None:
         _remove(df.sparkSession, path)
 
 
+#: Most bits of a membership filter (64 MB when broadcast).
+FILTER_BITS = 1 << 29
+_PAGE = 1 << 15
+
+
+class Members:
+    """A filter for the values of a long column (hashes): one page of 32,768 bits per row, broadcast.
+
+    It has some eight bits per value up to FILTER_BITS, so its size is bounded; beyond that it lets more
+    values through. It never stops a value that is there.
+    """
+
+    def __init__(self, values: DataFrame, column: str):
+        n = values.count()
+        self.bits = min(FILTER_BITS, max(1 << 20, 1 << (8 * n - 1).bit_length() if n else 0))
+        at = self._place(F.col(column))
+        rows = values.select(F.floor(at / _PAGE).alias("_page"), (at % _PAGE).alias("_at")).repartition("_page")
+        self.pages = rows.groupBy("_page").agg(F.bitmap_construct_agg("_at").alias("_map"))
+
+    def _place(self, value):
+        return F.pmod(value, F.lit(self.bits).cast("long"))
+
+    def keep(self, rows: DataFrame, column: str) -> DataFrame:
+        """Rows whose value may be there: all that are, and few others."""
+        at = self._place(F.col(column))
+        both = rows.withColumn("_page", F.floor(at / _PAGE)).join(F.broadcast(self.pages), "_page")
+        place = at % _PAGE
+        byte = F.conv(F.hex(F.substring("_map", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        bit = F.pmod(F.floor(byte / F.element_at(F.lit([1, 2, 4, 8, 16, 32, 64, 128]), (place % 8).cast("int") + 1)), F.lit(2))
+        return both.where(bit == 1).drop("_page", "_map")
+
+
 def text_of(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))

@@ -23,10 +23,9 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, discard, table, text_of
+from .common import Members, cut, discard, partitions, table, text_of
 from .graph import components
 
 THRESHOLD = 1
@@ -48,20 +47,18 @@ def _segments(length: Column, k: int, i: int) -> tuple[Column, Column]:
     return begin, short + F.when(F.lit(i) >= F.lit(k) - longer, 1).otherwise(0)
 
 
-def index_keys(line: Column, length: Column, threshold: int) -> Column:
-    k = threshold + 1
-    return F.array(*[F.xxhash64(length, F.lit(i), F.substring(line, *_segments(length, k, i))) for i in range(k)])
-
-
-def probe_keys(line: Column, length: Column, threshold: int) -> Column:
-    """The substrings that can equal a segment of a line of this or a shorter length."""
+def join_keys(line: Column, length: Column, threshold: int) -> Column:
+    """Structs (key, own): the segments that a line is indexed by (own), and the substrings that can equal a
+    segment of a shorter line. Those for lines of its own length at its own segments are its index keys."""
     k, out = threshold + 1, []
     for delta in range(threshold + 1):
         for i in range(k):
             begin, size = _segments(length - delta, k, i)
             low = max(-i, delta - (threshold - i))
             high = min(i, delta + (threshold - i))
-            out += [F.xxhash64(length - delta, F.lit(i), F.substring(line, begin + shift, size)) for shift in range(low, high + 1)]
+            for shift in range(low, high + 1):
+                key = F.xxhash64(length - delta, F.lit(i), F.substring(line, begin + shift, size))
+                out.append(F.struct(key.alias("key"), F.lit(delta == 0 and shift == 0).alias("own")))
     return F.array(*out)
 
 
@@ -131,27 +128,36 @@ def _linked(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
     return both.where(edit_within(F.col("x"), F.col("y"), threshold)).select("a", "b")
 
 
+def _candidates(distinct: DataFrame) -> DataFrame:
+    """id, key, own, head of the keys that a line is indexed by and another line shares; head is the smallest line indexed.
+
+    Keys are counted before they meet (partial sums), and those of one line alone never reach the join.
+    """
+    keys = distinct.select("id", F.explode("keys").alias("k")).select("id", "k.key", "k.own")
+    heads = keys.groupBy("key").agg(F.min(F.when(F.col("own"), F.col("id"))).alias("head"), F.min("id").alias("low"), F.max("id").alias("high"))
+    heads = cut(heads.where("head is not null and low < high").select("key", "head"), "heads")
+    out = cut(Members(heads, "key").keep(keys, "key").join(heads, "key").select("id", "key", "own", "head"), "keys")
+    discard(heads)
+    return out
+
+
 def line_classes(lines: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
-    """id (hash of a distinct long line), first (doc_id, place) of its component."""
+    """id (hash of a distinct line), first (doc_id, place) of its component and n (its own rows), where the component has two rows or more."""
     length = F.char_length("line")
-    long = lines.where(length >= min_chars).withColumn("id", F.xxhash64("line"))
-    distinct = long.select(
-        "id", F.struct("doc_id", "place").alias("at"), index_keys(F.col("line"), length, threshold).alias("index"), probe_keys(F.col("line"), length, threshold).alias("probe")
-    )
-    distinct = cut(distinct.groupBy("id").agg(F.min("at").alias("first"), F.first("index").alias("index"), F.first("probe").alias("probe")), "lines")
-
-    keys = distinct.select("id", F.explode("index").alias("key"), F.lit(True).alias("indexed"))
-    keys = keys.unionByName(distinct.select("id", F.explode("probe").alias("key"), F.lit(False).alias("indexed")))
-    own = W.partitionBy("key")
-    keys = keys.select("id", "key", "indexed", F.min(F.when(F.col("indexed"), F.col("id"))).over(own).alias("head"), F.min("id").over(own).alias("low"), F.max("id").over(own).alias("high"))
-    keys = cut(keys.where("head is not null and low < high").select("id", "key", "indexed", "head"), "keys")
-    texts = cut(long.select("id", "line").join(keys.select("id").distinct(), "id").groupBy("id").agg(F.first("line").alias("line")), "texts")
+    full = lines.where("line <> ''").withColumn("id", F.xxhash64("line"))
+    distinct = full.select("id", F.struct("doc_id", "place").alias("at"), F.when(length >= min_chars, join_keys(F.col("line"), length, threshold)).alias("keys"))
+    distinct = cut(distinct.groupBy("id").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"), F.first("keys").alias("keys")), "lines")
+
+    keys = _candidates(distinct)
+    named = keys.select("id").distinct()
+    texts = Members(named, "id").keep(full.select("id", "line"), "id").join(named, "id", "left_semi")
+    texts = cut(texts.groupBy("id").agg(F.first("line").alias("line")), "texts")
 
     tried = keys.where("id <> head").select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct()
     tried = cut(tried, "tried")
     links = cut(_linked(tried, texts, threshold), "links")
     label = components(links).withColumnRenamed("node", "id")
-    named = keys.select("id", "key", "indexed").join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    named = keys.select("id", "key").join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
     named = cut(named, "named")
     mixed = named.groupBy("key").agg((F.min("label") < F.max("label")).alias("mixed")).where("mixed").select("key")
     named = named.join(mixed, "key").groupBy("id").agg(F.first("label").alias("label"))
@@ -162,26 +168,47 @@ def line_classes(lines: DataFrame, threshold: int = THRESHOLD, min_chars: int =
     more = more.join(tried, ["a", "b"], "left_anti")
     links = cut(links.unionByName(_linked(more, texts, threshold)), "links")
     label = components(links).withColumnRenamed("node", "id")
-    discard(texts)
-    named = distinct.select("id", "first").join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    top = named.groupBy("label").agg(F.min("first").alias("first"))
-    return named.select("id", "label").join(top, "label").select("id", "first")
+    for done in (texts, keys, tried):
+        discard(done)
+    # Lines without a link are classes of their own rows; the others' classes are few and small rows.
+    linked = distinct.select("id", "first", "n").join(label, "id")
+    top = linked.groupBy("label").agg(F.min("first").alias("first"))
+    linked = linked.select("id", "label", "n").join(top, "label").select("id", "first", "n")
+    alone = distinct.where("n > 1").select("id", "first", "n").join(label, "id", "left_anti")
+    return linked.unionByName(alone)
+
+
+def _with_first(lines: DataFrame, classes: DataFrame, how: str) -> DataFrame:
+    """doc_id, place, first of lines; the rows of a line with many of them are dealt over several salts."""
+    spark = lines.sparkSession
+    share = max(1, (classes.agg(F.sum("n")).first()[0] or 0) // (4 * partitions(spark)))
+    hot = classes.where(F.col("n") > share).select("id", F.ceil(F.col("n") / share).cast("int").alias("salts"))  # at most 4 a partition
+    rows = lines.select("doc_id", "place", F.when(F.col("line") != "", F.xxhash64("line")).alias("id"))
+    if how == "inner":
+        rows = Members(classes, "id").keep(rows, "id")
+    rows = rows.join(F.broadcast(hot), "id", "left")
+    rows = rows.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("doc_id", "place"), "salts").cast("int"), F.lit(0)))
+    spread = classes.join(F.broadcast(hot), "id", "left").select("id", "first", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
+    return rows.join(spread, ["id", "salt"], how).select("doc_id", "place", "first")
 
 
 def judge_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
     """doc_id, place (from 0), kept: one row per line of each text."""
     lines = lines_of(docs, id_col, text_col)
-    short = lines.where((F.col("line") != "") & (F.char_length("line") < min_chars)).groupBy(F.xxhash64("line").alias("id"))
-    short = short.agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("id", "first")
-    classes = cut(line_classes(lines, threshold, min_chars).unionByName(short), "line-classes")
-    rows = lines.select("doc_id", "place", F.when(F.col("line") != "", F.xxhash64("line")).alias("id"))
-    rows = rows.join(classes, "id", "left")
+    rows = _with_first(lines, cut(line_classes(lines, threshold, min_chars), "line-classes"), "left")
     return rows.select("doc_id", "place", (F.col("first").isNull() | F.struct("doc_id", "place").eqNullSafe(F.col("first"))).alias("kept"))
 
 
+def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
+    """doc_id, place of the lines that go."""
+    lines = lines_of(docs, id_col, text_col)
+    rows = _with_first(lines, cut(line_classes(lines, threshold, min_chars), "line-classes"), "inner")
+    return rows.where(~F.struct("doc_id", "place").eqNullSafe(F.col("first"))).select("doc_id", "place")
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
     """docs with the dropped lines taken out of the text."""
-    gone = judge_lines(docs, id_col, text_col, threshold, min_chars).where("not kept").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("place").alias("_gone"))
+    gone = dropped_lines(docs, id_col, text_col, threshold, min_chars).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("place").alias("_gone"))
     rows = docs.join(gone, docs[id_col].cast("long").eqNullSafe(F.col("_id")), "left")
     parts = F.transform(F.split(text_col, "\n"), lambda line, i: F.when(~F.coalesce(F.array_contains("_gone", i), F.lit(False)), line))
     return rows.select(*[(F.array_join(parts, "\n") if c == text_col else docs[c]).alias(c) for c in docs.columns])
@@ -189,7 +216,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_kept, dropped (places of the dropped lines, in order, joined by commas)."""
-    rows = judge_lines(table(spark, sf_dir, "documents")).groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("n_lines"), F.sum(F.col("kept").cast("long")).alias("n_kept"), F.array_sort(F.collect_list(F.when(~F.col("kept"), F.col("place")))).alias("gone")
-    )
-    return rows.select("doc_id", "n_lines", "n_kept", F.array_join(F.transform("gone", lambda p: p.cast("string")), ",").alias("dropped"))
+    docs = table(spark, sf_dir, "documents")
+    every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.size(F.split(text_of(), "\n")).cast("long").alias("n"), F.lit(None).cast("int").alias("place"))
+    rows = every.unionByName(dropped_lines(docs).select("doc_id", F.lit(0).cast("long").alias("n"), "place"))
+    rows = rows.groupBy("doc_id").agg(F.sum("n").alias("n_lines"), F.count("place").alias("n_gone"), F.array_sort(F.collect_list("place")).alias("gone"))
+    return rows.select("doc_id", "n_lines", (F.col("n_lines") - F.col("n_gone")).alias("n_kept"), F.array_join(F.transform("gone", lambda p: p.cast("string")), ",").alias("dropped"))
