@@ -47,10 +47,10 @@ def _segments(length: Column, k: int, i: int) -> tuple[Column, Column]:
     return begin, short + F.when(F.lit(i) >= F.lit(k) - longer, 1).otherwise(0)
 
 
-def join_keys(line: Column, length: Column, threshold: int) -> Column:
-    """Structs (key, own): the segments that a line is indexed by (own), and the substrings that can equal a
-    segment of a shorter line. Those for lines of its own length at its own segments are its index keys."""
-    k, out = threshold + 1, []
+def join_keys(line: Column, length: Column, threshold: int) -> tuple[Column, Column]:
+    """Two arrays: the segments that a line is indexed by, which are also what it probes lines of its own
+    length with, and the other substrings that can equal a segment of a line of this or a shorter length."""
+    k, own, other = threshold + 1, [], []
     for delta in range(threshold + 1):
         for i in range(k):
             begin, size = _segments(length - delta, k, i)
@@ -58,8 +58,8 @@ def join_keys(line: Column, length: Column, threshold: int) -> Column:
             high = min(i, delta + (threshold - i))
             for shift in range(low, high + 1):
                 key = F.xxhash64(length - delta, F.lit(i), F.substring(line, begin + shift, size))
-                out.append(F.struct(key.alias("key"), F.lit(delta == 0 and shift == 0).alias("own")))
-    return F.array(*out)
+                (other if delta or shift else own).append(key)
+    return F.array(*own), F.array(*other)
 
 
 def _rest(line: Column, begin: Column, size: Column) -> Column:
@@ -133,7 +133,8 @@ def _candidates(distinct: DataFrame) -> DataFrame:
 
     Keys are counted before they meet (partial sums), and those of one line alone never reach the join.
     """
-    keys = distinct.select("id", F.explode("keys").alias("k")).select("id", "k.key", "k.own")
+    marked = lambda c, own: F.transform(c, lambda k: F.struct(k.alias("key"), F.lit(own).alias("own")))
+    keys = distinct.select("id", F.explode(F.concat(marked("index", True), marked("probe", False))).alias("k")).select("id", "k.key", "k.own")
     heads = keys.groupBy("key").agg(F.min(F.when(F.col("own"), F.col("id"))).alias("head"), F.min("id").alias("low"), F.max("id").alias("high"))
     heads = cut(heads.where("head is not null and low < high").select("key", "head"), "heads")
     out = cut(Members(heads, "key").keep(keys, "key").join(heads, "key").select("id", "key", "own", "head"), "keys")
@@ -145,12 +146,14 @@ def line_classes(lines: DataFrame, threshold: int = THRESHOLD, min_chars: int =
     """id (hash of a distinct line), first (doc_id, place) of its component and n (its own rows), where the component has two rows or more."""
     length = F.char_length("line")
     full = lines.where("line <> ''").withColumn("id", F.xxhash64("line"))
-    distinct = full.select("id", F.struct("doc_id", "place").alias("at"), F.when(length >= min_chars, join_keys(F.col("line"), length, threshold)).alias("keys"))
-    distinct = cut(distinct.groupBy("id").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"), F.first("keys").alias("keys")), "lines")
+    index, probe = (F.when(length >= min_chars, keys) for keys in join_keys(F.col("line"), length, threshold))
+    distinct = full.select("id", F.struct("doc_id", "place").alias("at"), index.alias("index"), probe.alias("probe"))
+    distinct = cut(distinct.groupBy("id").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"), F.first("index").alias("index"), F.first("probe").alias("probe")), "lines")
 
     keys = _candidates(distinct)
     named = keys.select("id").distinct()
-    texts = Members(named, "id").keep(full.select("id", "line"), "id").join(named, "id", "left_semi")
+    # An inner join, as a semi-join would be moved below the filter and shuffle every line.
+    texts = Members(named, "id").keep(full.select("id", "line"), "id").join(named, "id")
     texts = cut(texts.groupBy("id").agg(F.first("line").alias("line")), "texts")
 
     tried = keys.where("id <> head").select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct()
