@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -17,17 +18,20 @@ def block_planes(df: DataFrame, block: list[str], planes: int = 9) -> DataFrame:
 
 
 def neighbours(df: DataFrame, block: str, value: str) -> DataFrame:
-    """h, v, d: how much of value stands beside, above and below, and diagonally; value itself as own.
+    """h, v, d: how much of value stands beside, above and below, and diagonally. Other columns stay.
 
-    Every sample adds to its eight neighbours' sums: one aggregation, without a self-join.
+    Two windows over one exchange by block: along rows, then along columns, where a row's sideways sum
+    gives its neighbours' diagonals. Samples may be missing; a block's fit one task.
     """
-    near = F.array(*[F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    part = df.select(block, "x", "y", F.col(value).alias("s"), F.explode(near).alias("at"))
-    part = part.select(block, (F.col("x") + F.col("at.dx")).alias("x"), (F.col("y") + F.col("at.dy")).alias("y"), "s", F.abs("at.dx").alias("ax"), F.abs("at.dy").alias("ay"))
-    count = lambda ax, ay: F.sum(F.when((F.col("ax") == ax) & (F.col("ay") == ay), F.col("s")).otherwise(0)).cast("int")
-    here = F.max((F.col("ax") + F.col("ay") == 0).cast("int"))
-    out = part.groupBy(block, "x", "y").agg(count(1, 0).alias("h"), count(0, 1).alias("v"), count(1, 1).alias("d"), count(0, 0).alias("own"), here.alias("inside"))
-    return out.where("inside = 1").drop("inside")
+    rows, columns = W.partitionBy(block, "y").orderBy("x"), W.partitionBy(block, "x").orderBy("y")
+
+    def beside(c: str, at: str, w) -> Column:
+        before = F.when(F.lag(at).over(w) == F.col(at) - 1, F.lag(c).over(w)).otherwise(0)
+        return before + F.when(F.lead(at).over(w) == F.col(at) + 1, F.lead(c).over(w)).otherwise(0)
+
+    df = df.repartition(block).withColumn("h", beside(value, "x", rows))
+    # Without the corner's own sample the column is missing too, so diagonals are only those of dense rows.
+    return df.withColumns({"v": beside(value, "y", columns).cast("int"), "d": beside("h", "y", columns).cast("int"), "h": F.col("h").cast("int")})
 
 
 def zero_context(h: Column, v: Column, d: Column, kind: Column) -> Column:
@@ -52,13 +56,10 @@ def magnitude_context(first: Column, near: Column) -> Column:
 
 
 def tag_tree(df: DataFrame, value: str, levels: int) -> DataFrame:
-    """level, x, y, least: the minima of a quadtree, each level from the one below."""
-    at = df.select(F.lit(0).alias("level"), "x", "y", F.col(value).alias("least"))
-    out = at
-    for level in range(1, levels + 1):
-        at = at.groupBy(F.shiftright("x", 1).alias("x"), F.shiftright("y", 1).alias("y")).agg(F.min("least").alias("least")).select(F.lit(level).alias("level"), "x", "y", "least")
-        out = out.unionByName(at)
-    return out
+    """level, x, y, least: the minima of a quadtree, all levels from one scan and one aggregation."""
+    at = df.select("x", "y", value, F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("level"))
+    shifted = lambda c: F.call_function("shiftright", F.col(c), F.col("level"))
+    return at.groupBy("level", shifted("x").alias("x"), shifted("y").alias("y")).agg(F.min(value).alias("least"))
 
 
 def pass_count_code(n: Column) -> Column:
@@ -67,3 +68,40 @@ def pass_count_code(n: Column) -> Column:
         F.when(n == 1, "0").when(n == 2, "10").when(n <= 5, F.concat(F.lit("11"), bits(n - 3, 2)))
         .when(n <= 36, F.concat(F.lit("1111"), bits(n - 6, 5))).otherwise(F.concat(F.lit("111111111"), bits(n - 37, 7)))
     )
+
+
+def segment_of(index: Column, terminate: Column) -> tuple[Column, Column]:
+    """Codeword and rawness of pass index (from 0) in the bypass style: 10 passes, then 2 raw and 1 coded in turn."""
+    late = index - 10
+    third = F.call_function("div", late, F.lit(3)).cast("int")
+    raw = (late >= 0) & (F.pmod(late, F.lit(3)) < 2)
+    joint = F.when(late < 0, 0).otherwise(1 + 2 * third + F.when(F.pmod(late, F.lit(3)) == 2, 1).otherwise(0))
+    return F.when(terminate, index).otherwise(joint).cast("int"), raw
+
+
+def length_bits(df: DataFrame, block: str, order: str, size: str, passes: Column) -> DataFrame:
+    """lblock after each contribution of a block, told (bits of the unary step) and bits of its length field."""
+    need = bit_length(F.col(size)) - (bit_length(passes) - 1)
+    w = W.partitionBy(block).orderBy(order)
+    now = F.greatest(F.lit(3), F.max(need).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    df = df.withColumn("lblock", now.cast("int"))
+    before = F.coalesce(F.lag("lblock").over(w), F.lit(3))
+    return df.withColumns({"told": (F.col("lblock") - before + 1).cast("int"), "bits": (F.col("lblock") + bit_length(passes) - 1).cast("int")})
+
+
+#: Bits of the code-block style.
+STYLES = (("bypass", 1), ("reset", 2), ("terminate", 4), ("causal", 8), ("predictable", 16), ("segment", 32))
+
+
+def style_flags(style: Column) -> dict[str, Column]:
+    return {name: style.bitwiseAND(bit) != 0 for name, bit in STYLES}
+
+
+def raw_mode(style: Column, kind: Column, plane: Column, planes: Column) -> Column:
+    """Whether a pass (kind 2: cleanup) bypasses the coder."""
+    return (style.bitwiseAND(1) != 0) & (kind != 2) & (plane <= planes - 5)
+
+
+def sound(passes: Column, length: Column, steps: Column, zero_planes: Column) -> Column:
+    """Whether a packet's numbers are possible; rows that aren't go to quarantine."""
+    return passes.between(1, 50) & (length <= 100_000) & (steps <= 16) & (zero_planes <= 32)

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rippleframe.functions import color, quant
-from rippleframe.operators import blocks, geometry, lifting, order, rate
+from rippleframe.operators import blocks, geometry, joins, lifting, metrics, order, rate
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -73,9 +73,9 @@ def ev_pass(spark: SparkSession, sf: str) -> DataFrame:
 # --- projections ------------------------------------------------------------------------------
 
 
-@query(f"with {LI} select r - 128 as r, g - 128 as g, b - 128 as b, count(*) as n from li group by 1, 2, 3")
+@query(f"with {LI} select r - 128 as r, g - 128 as g, b - 128 as b from li")
 def dc_shift(spark, sf):
-    return li_rgb(spark, sf).select(*[color.level_shift(F.col(c)).alias(c) for c in "rgb"]).groupBy("r", "g", "b").agg(F.count(F.lit(1)).alias("n"))
+    return li_rgb(spark, sf).select(*[color.level_shift(F.col(c)).alias(c) for c in "rgb"])
 
 
 @query(f"with {LI} select (r + 2 * g + b) >> 2 as y, b - g as cb, r - g as cr from li")
@@ -107,27 +107,15 @@ def ict_inverse(spark, sf):
     return li_rgb(spark, sf).select(*[F.round(c, 6).alias(n) for c, n in zip(color.ict_inverse(F.col("r"), F.col("g"), F.col("b")), ("red", "green", "blue"), strict=True)])
 
 
-@query(f"with {LI} select cast(greatest(0, least(255, floor(r + b * 1.402::double + 0.5::double))) as int) as level, count(*) as n from li group by 1")
+@query(f"with {LI} select cast(greatest(0, least(255, floor(r + b * 1.402::double + 0.5::double))) as int) as red, cast(greatest(0, least(255, floor(r - g * 0.344136::double - b * 0.714136::double + 0.5::double))) as int) as green, cast(greatest(0, least(255, floor(r + g * 1.772::double + 0.5::double))) as int) as blue from li")
 def clamp_rgba8(spark, sf):
-    red, _, _ = color.ict_inverse(F.col("r"), F.col("g"), F.col("b"))
-    return li_rgb(spark, sf).groupBy(color.clamp8_float(red).alias("level")).agg(F.count(F.lit(1)).alias("n"))
+    return li_rgb(spark, sf).select(*[color.clamp8_float(c).alias(n) for c, n in zip(color.ict_inverse(F.col("r"), F.col("g"), F.col("b")), ("red", "green", "blue"), strict=True)])
 
 
-@query(f"with {LI} select (r % 16 * 255 + 7) // 15 as d4, (r * 255 + 511) // 1023 as d10, (r * 255 + 2047) // 4095 as d12, count(*) as n from li group by 1, 2, 3")
+@query(f"with {LI} select (r % 16 * 255 + 7) // 15 as d4, (r * 255 + 511) // 1023 as d10, (r * 255 + 2047) // 4095 as d12 from li")
 def bitdepth_rescale(spark, sf):
     r = F.col("r")
-    return li_rgb(spark, sf).groupBy(color.rescale8(r % 16, 4).alias("d4"), color.rescale8(r, 10).alias("d10"), color.rescale8(r, 12).alias("d12")).agg(F.count(F.lit(1)).alias("n"))
-
-
-@query(f"with {EMB} select vec_id, i, cast(sign(v) * floor(abs(v) / 2.5::double) as int) as q from emb")
-def quant_deadzone(spark, sf):
-    return emb_row(spark, sf).select("vec_id", "i", quant.deadzone(F.col("v"), F.lit(2.5)).alias("q"))
-
-
-@query(f"with {EMB} select vec_id, i, case when abs(v) < 2.5::double then 0.0::double else round(sign(v) * (floor(abs(v) / 2.5::double) + 0.5::double) * 2.5::double, 6) end as v from emb")
-def dequant_midpoint(spark, sf):
-    q = quant.deadzone(F.col("v"), F.lit(2.5))
-    return emb_row(spark, sf).select("vec_id", "i", F.round(quant.midpoint(q, F.lit(2.5)), 6).alias("v"))
+    return li_rgb(spark, sf).select(color.rescale8(r % 16, 4).alias("d4"), color.rescale8(r, 10).alias("d10"), color.rescale8(r, 12).alias("d12"))
 
 
 @query(f"with {EMB} select vec_id, i, cast(trunc((2 * v + 1) / 2.0::double) as int) as v from emb")
@@ -213,6 +201,25 @@ def dwt97_forward_1d(spark, sf):
     return lifting.analyse97(t, ["vec_id"], "i").select("vec_id", "i", (F.round("v", 6) + 0.0).alias("v"))
 
 
+COEFFICIENTS = f"{_sql97()}, co as (select vec_id, cast(case when i % 2 = 0 then i // 2 else 32 + i // 2 end as int) as i, round(case when i % 2 = 0 then v / {lifting.K!r}::double else v * {lifting.K / 2!r}::double end, 6) as v from emb4)"
+
+
+def coefficients(spark: SparkSession, sf: str) -> DataFrame:
+    t = emb_row(spark, sf).withColumn("v", F.col("v").cast("double"))
+    return lifting.analyse97(t, ["vec_id"], "i").select("vec_id", "i", F.round("v", 6).alias("v"))
+
+
+@query(f"with {COEFFICIENTS} select vec_id, i, cast(sign(v) * floor(abs(v) / 2.5::double) as int) as q from co")
+def quant_deadzone(spark, sf):
+    return coefficients(spark, sf).select("vec_id", "i", quant.deadzone(F.col("v"), F.lit(2.5)).alias("q"))
+
+
+@query(f"with {COEFFICIENTS} select vec_id, i, case when abs(v) < 2.5::double then 0.0::double else round(sign(v) * (floor(abs(v) / 2.5::double) + 0.5::double) * 2.5::double, 6) end as v from co")
+def dequant_midpoint(spark, sf):
+    q = quant.deadzone(F.col("v"), F.lit(2.5))
+    return coefficients(spark, sf).select("vec_id", "i", F.round(quant.midpoint(q, F.lit(2.5)), 6).alias("v"))
+
+
 @query("select vec_id, true as close from embeddings")
 def dwt97_roundtrip(spark, sf):
     t = emb_row(spark, sf).select("vec_id", "i", F.col("v").cast("double").alias("v"))
@@ -264,7 +271,7 @@ def significant(spark, sf) -> DataFrame:
 
 @query(f"with {NEAR} select vec_id, x, y, h, vv as v, d from near")
 def neighbor_counts(spark, sf):
-    return blocks.neighbours(significant(spark, sf), "vec_id", "s").select("vec_id", "x", "y", "h", "v", "d")
+    return blocks.neighbours(significant(spark, sf).drop("v"), "vec_id", "s").select("vec_id", "x", "y", "h", "v", "d")
 
 
 ZC = """case when band = 3 then (case when d >= 3 then 8 when d = 2 and h + vv >= 1 then 7 when d = 2 then 6 when d = 1 and h + vv >= 2 then 5 when d = 1 and h + vv = 1 then 4 when d = 1 then 3 when h + vv >= 2 then 2 else h + vv end)
@@ -273,9 +280,8 @@ ZC = """case when band = 3 then (case when d >= 3 then 8 when d = 2 and h + vv >
 
 @query(f"with {NEAR} select vec_id, x, y, cast({ZC} as int) as ctx from (select *, case when band = 1 then vv else h end as a, case when band = 1 then h else vv end as b from (select *, label % 4 as band from near))")
 def zero_coding_context(spark, sf):
-    t = blocks.neighbours(significant(spark, sf), "vec_id", "s")
-    kinds = table(spark, sf, "embeddings").select("vec_id", (F.col("label") % 4).alias("band"))
-    return t.join(kinds, "vec_id").select("vec_id", "x", "y", blocks.zero_context(F.col("h"), F.col("v"), F.col("d"), F.col("band")).alias("ctx"))
+    t = blocks.neighbours(significant(spark, sf).drop("v"), "vec_id", "s")
+    return t.select("vec_id", "x", "y", blocks.zero_context(F.col("h"), F.col("v"), F.col("d"), F.col("label") % 4).alias("ctx"))
 
 
 @query(NEAR.join(("with ", "")).replace("cast(abs(v) >= 16 as int) as s", "case when abs(v) >= 16 then cast(sign(v) as int) else 0 end as s") + """ select vec_id, x, y,
@@ -284,12 +290,12 @@ from (select vec_id, x, y, h, v, cast(h < 0 or (h = 0 and v < 0) as int) as f fr
 def sign_context(spark, sf):
     t = emb_grid(spark, sf).withColumn("s", F.when(F.abs("v") >= 16, F.signum("v").cast("int")).otherwise(0))
     ctx, flip = blocks.sign_context(F.col("h"), F.col("v"))
-    return blocks.neighbours(t, "vec_id", "s").select("vec_id", "x", "y", ctx.alias("ctx"), flip.alias("flip"))
+    return blocks.neighbours(t.drop("v"), "vec_id", "s").select("vec_id", "x", "y", ctx.alias("ctx"), flip.alias("flip"))
 
 
 @query(f"with {NEAR} select vec_id, x, y, case when not (abs(v) >= 16 and abs(v) < 32) then 16 when h + vv + d > 0 then 15 else 14 end as ctx from near")
 def magnitude_context(spark, sf):
-    t = blocks.neighbours(significant(spark, sf), "vec_id", "s").join(emb_grid(spark, sf).select("vec_id", "x", "y", F.col("v").alias("value")), ["vec_id", "x", "y"])
+    t = blocks.neighbours(significant(spark, sf).withColumnRenamed("v", "value"), "vec_id", "s")
     first = (F.abs("value") >= 16) & (F.abs("value") < 32)
     return t.select("vec_id", "x", "y", blocks.magnitude_context(first, F.col("h") + F.col("v") + F.col("d")).alias("ctx"))
 
@@ -316,42 +322,48 @@ PACKETS = f"""{PREC}, pk as (select *, greatest(((trx0 >> ppx) + px) * (1 << ppx
 def _order(kind: str):
     def run(spark, sf):
         t = geometry.precincts(geometry.resolutions(geometry.tiles(img_dim(spark, sf))))
-        t = order.sequence(order.packets(t, 2, 2), kind)
-        mark = F.col("layer") * 1000 + F.col("res") * 100 + F.col("comp") * 10 + F.col("px") + F.col("py") * 3
-        return t.groupBy("image_id", "tile").agg(F.count(F.lit(1)).alias("packets"), F.sum(F.col("seq").cast("long") * mark).alias("digest"))
+        return order.packets(t, 2, 2, kind).select("image_id", "tile", "layer", "res", "comp", "py", "px", "seq")
 
     run.__name__ = f"order_{kind}"
     keys = ", ".join(order.KEYS[kind])
-    query(f"""with {PACKETS} select image_id, tile, count(*) as packets, cast(sum(seq * (layer * 1000 + res * 100 + comp * 10 + px + py * 3)) as bigint) as digest
-from (select *, row_number() over (partition by image_id, tile order by {keys}) - 1 as seq from pk) group by 1, 2""")(run)
+    query(f"""with {PACKETS} select image_id, tile, layer, res, comp, py, px, row_number() over (partition by image_id, tile order by {keys}) - 1 as seq
+from (select image_id, tile, cast(layer as int) as layer, res, cast(comp as int) as comp, cast(py as int) as py, cast(px as int) as px, ref_x, ref_y from pk)""")(run)
 
 
 for _kind in order.KEYS:
     _order(_kind)
 
 
-@query(f"with {PACKETS} select image_id, count(*) as packets from pk where layer < 1 and res <= 2 group by 1")
+@query(f"with {PACKETS} select image_id, tile, cast(layer as int) as layer, res, cast(comp as int) as comp, cast(py as int) as py, cast(px as int) as px from pk where layer < 1 and res <= 2")
 def layer_res_limit(spark, sf):
     t = order.packets(geometry.precincts(geometry.resolutions(geometry.tiles(img_dim(spark, sf)))), 2, 2)
-    return t.where("layer < 1 and res <= 2").groupBy("image_id").agg(F.count(F.lit(1)).alias("packets"))
+    return t.where("layer < 1 and res <= 2").select("image_id", "tile", "layer", "res", "comp", "py", "px")
 
 
 # --- rate -------------------------------------------------------------------------------------
 
 
-@query(f"with {PASSES} select block, pass, round(distortion / bytes, 9) as slope from passes")
+@query(f"with {PASSES} select block, pass, round(distortion / bytes, 6) as slope from passes")
 def rd_slopes(spark, sf):
-    return rate.slopes(ev_pass(spark, sf)).select("block", "pass", F.round("slope", 9).alias("slope"))
+    return rate.slopes(ev_pass(spark, sf)).select("block", "pass", F.round("slope", 6).alias("slope"))
+
+
+#: Passes of which every fourth has no bytes.
+GAPS = f"{PASSES}, gaps as (select block, pass, case when pass % 4 = 0 then 0 else bytes end as bytes, distortion from passes)"
 
 
-@query(f"with {PASSES} select block, cast(sum(ok) as int) as passes from (select block, min(cast(distortion / bytes >= 1.0 as int)) over (partition by block order by pass rows unbounded preceding) as ok from passes) group by 1")
+def gappy(spark: SparkSession, sf: str) -> DataFrame:
+    return ev_pass(spark, sf).withColumn("bytes", F.when(F.col("pass") % 4 == 0, 0).otherwise(F.col("bytes")))
+
+
+@query(f"with {GAPS} select block, cast(coalesce(max(case when ok = 1 and bytes > 0 then pass end), 0) as int) as passes from (select *, min(case when bytes > 0 then cast(distortion / bytes >= 1.0 as int) end) over (partition by block order by pass rows unbounded preceding) as ok from gaps) group by 1")
 def rate_prefix(spark, sf):
-    return rate.prefixes(rate.slopes(ev_pass(spark, sf)), F.lit(1.0))
+    return rate.prefixes(rate.simple_slopes(gappy(spark, sf)), F.lit(1.0))
 
 
-@query(f"with {PASSES} select block, cast(sum(ok) as int) as passes from (select block, cast(sum(bytes) over (partition by block order by pass rows unbounded preceding) <= floor(sum(bytes) over (partition by block) * 0.5::double) as int) as ok from passes) group by 1")
+@query(f"with {GAPS} select block, cast(coalesce(max(case when ok then pass end), 0) as int) as passes from (select block, pass, sum(bytes) over (partition by block order by pass rows unbounded preceding) <= floor(sum(bytes) over (partition by block) * 0.5::double) as ok from gaps) group by 1")
 def rate_uniform(spark, sf):
-    return rate.uniform(ev_pass(spark, sf), 0.5)
+    return rate.uniform(gappy(spark, sf), 0.5)
 
 
 # --- joins ------------------------------------------------------------------------------------
@@ -364,11 +376,10 @@ def palette_lookup(spark, sf):
     return t.join(pal, "k", "left").select("vec_id", "x", "y", "entry")
 
 
-@query(f"with {GRID} select vec_id, cast(2 * x + dx as int) as x, cast(2 * y + dy as int) as y, v from grid, (select unnest([0, 1]) as dx), (select unnest([0, 1]) as dy)")
+@query(f"with {GRID}, f as (select vec_id, x, y, v, cast(unnest([2, 3]) as int) as factor from grid) select vec_id, factor, cast(tx as int) as x, cast(ty as int) as y, v from (select *, unnest(case when x = 7 then range(factor * x, 23) else range(factor * x, factor * x + factor) end) as tx from (select *, unnest(case when y = 7 then range(factor * y, 23) else range(factor * y, factor * y + factor) end) as ty from f))")
 def upsample_nearest(spark, sf):
-    two = F.array(F.lit(0), F.lit(1))
-    t = emb_grid(spark, sf).select("vec_id", "x", "y", "v", F.explode(two).alias("dx")).select("*", F.explode(two).alias("dy"))
-    return t.select("vec_id", (F.col("x") * 2 + F.col("dx")).alias("x"), (F.col("y") * 2 + F.col("dy")).alias("y"), "v")
+    t = emb_grid(spark, sf).select("vec_id", "x", "y", "v", F.explode(F.array(F.lit(2), F.lit(3))).alias("factor"))
+    return joins.upsample(t, F.lit(8), F.lit(8), F.lit(23), F.lit(23), F.col("factor"), F.col("factor")).select("vec_id", "factor", "x", "y", "v")
 
 
 @query(f"with {GRID} select cast(vec_id % 25 * 8 + x as bigint) as x, cast(vec_id // 25 * 8 + y as bigint) as y, v from grid")
@@ -385,15 +396,22 @@ def tlm_index(spark, sf):
 # --- metrics ----------------------------------------------------------------------------------
 
 
-@query(f"with {LI}, m as (select avg(pow(r - 4 * (r // 4), 2)) as mse from li) select round(case when mse = 0 then null else 10 * log10(65025 / mse) end, 6) as psnr from m")
+#: Samples of all channels beside quantised ones.
+PAIRED = f"{LI}, pair as (select unnest([r, g, b]) as a, unnest([r // 4 * 4, g // 8 * 8, b]) as z from li)"
+
+
+def paired(spark: SparkSession, sf: str) -> DataFrame:
+    t = li_rgb(spark, sf)
+    low = lambda c, n: F.col(c) - F.col(c) % n
+    both = F.array(*[F.struct(F.col(c).alias("a"), z.alias("z")) for c, z in (("r", low("r", 4)), ("g", low("g", 8)), ("b", F.col("b")))])
+    return t.select(F.explode(both).alias("p")).select("p.a", "p.z")
+
+
+@query(f"with {PAIRED}, m as (select avg(pow(a - z, 2)) as mse from pair) select round(case when mse is null then null when mse = 0 then 'infinity'::double else 10 * log10(65025 / mse) end, 6) as psnr from m")
 def psnr(spark, sf):
-    r = F.col("r")
-    mse = F.avg(F.pow(r - 4 * F.floor(r / 4), F.lit(2)))
-    return li_rgb(spark, sf).agg(F.round(10 * F.log10(F.lit(65025) / mse), 6).alias("psnr"))
+    return metrics.psnr(paired(spark, sf), "a", "z")
 
 
-@query(f"with {LI} select count(*) as n, cast(sum(cast(r % 4 > 1 as int)) as bigint) as differ, max(r % 4) as most, round(100.0::double * sum(cast(r % 4 > 1 as int)) / count(*), 6) as percent from li")
+@query(f"with {PAIRED} select count(*) as n, cast(coalesce(sum(cast(abs(a - z) > 1 as int)), 0) as bigint) as differ, max(abs(a - z)) as most, case when count(*) > 0 then round(100.0::double * sum(cast(abs(a - z) > 1 as int)) / count(*), 6) end as percent, case when max(abs(a - z)) > 10 or 100.0 * sum(cast(abs(a - z) > 1 as int)) / count(*) > 5 then 'fail' when 100.0 * sum(cast(abs(a - z) > 1 as int)) / count(*) > 0.1 then 'close' else 'pass' end as verdict from pair")
 def conformance_metrics(spark, sf):
-    off = F.col("r") - 4 * F.floor(F.col("r") / 4)
-    far = F.count_if(off > 1)
-    return li_rgb(spark, sf).agg(F.count(F.lit(1)).alias("n"), far.alias("differ"), F.max(off).cast("int").alias("most"), F.round(far * 100.0 / F.count(F.lit(1)), 6).alias("percent"))
+    return metrics.conformance(paired(spark, sf), "a", "z")

@@ -6,11 +6,12 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from rippleframe import plans
 from rippleframe.functions import color, quant
 from rippleframe.operators import blocks, lifting
-from rippleframe.plans import catalogue
 
 DATA = "/root/testdata/sf0.001"
+QUERIES, ORACLE_SQL = plans.every()
 
 
 @pytest.fixture(scope="session")
@@ -26,9 +27,9 @@ def rows(frame, columns):
     return sorted(map(str, frame.where(frame.notna(), None).itertuples(index=False, name=None)))
 
 
-@pytest.mark.parametrize("name", list(catalogue.QUERIES))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_equals_sql(spark, duck, name):
-    ours, theirs = catalogue.QUERIES[name](spark, DATA).toPandas(), duck.execute(catalogue.ORACLE_SQL[name]).df()
+    ours, theirs = QUERIES[name](spark, DATA).toPandas(), duck.execute(ORACLE_SQL[name]).df()
     assert sorted(ours.columns) == sorted(theirs.columns)
     assert rows(ours, sorted(ours.columns)) == rows(theirs, sorted(ours.columns))
 
