@@ -133,12 +133,132 @@ def test_media_round_trip(docs, none):
         raw += bytes(-len(raw) % 64 or (0 if raw else 64))
         assert (got[i].payload_bytes, got[i].payload_sha256, got[i].tail_crc32) == (len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-64:]))
     assert media.media_columns(none).count() == 0
-    every = bytes([255]) * 640 + bytes(range(256)) * 3
-    assert media.read_payload(media.encode(every))[0] == every and media._even(media.parse(media.encode(every))) is None
     with pytest.raises(media.BadImage):
         media.decode(b"not an image")
 
 
+class Bits:
+    """A plain writer of entropy-coded bits."""
+
+    def __init__(self):
+        self.out, self.bits = b"", ""
+
+    def put(self, value, n):
+        self.bits += format(value, f"0{n}b") if n else ""
+
+    def close(self):
+        self.bits += "1" * (-len(self.bits) % 8)
+        self.out += b"".join(bytes([int(self.bits[i : i + 8], 2)]) + b"\0" * (self.bits[i : i + 8] == "1" * 8) for i in range(0, len(self.bits), 8))
+        self.bits = ""
+
+    def block(self, values, last, dc, ac):
+        def amount(v):
+            n = abs(v).bit_length()
+            return n, v if v >= 0 else v + (1 << n) - 1
+
+        n, v = amount(values[0] - last)
+        self.put(*dc[n][::-1])
+        self.put(v, n)
+        run = 0
+        for k in range(1, 64):
+            if not values[k]:
+                run += 1
+                continue
+            while run > 15:
+                self.put(*ac[0xF0][::-1])
+                run -= 16
+            n, v = amount(values[k])
+            self.put(*ac[run << 4 | n][::-1])
+            self.put(v, n)
+            run = 0
+        if run:
+            self.put(*ac[0][::-1])
+        return values[0]
+
+
+def by_symbol(table):
+    return {s: k for k, s in media._codes(table).items()}
+
+
+def test_media_bytes_against_plain_coding():
+    """The image's scan, bit by bit, for payloads of all kinds; a broken table breaks the payload."""
+    rng = random.Random(6)
+    payloads = [bytes(64), bytes([255]) * 640, bytes([128]) * 128, bytes(range(256)) * 4, (bytes(40) + b"a" * 24) * 70, rng.randbytes(640)]
+    payloads += [bytes(rng.choice([0, 0, 0, rng.randrange(256)]) for _ in range(64 * rng.randint(1, 9))) for _ in range(60)]
+    images = media.encode_many(payloads)
+    for payload, image in zip(payloads, images, strict=True):
+        wide, high = media._grid(len(payload) // 64)
+        w, full = Bits(), payload.ljust(64 * wide * high, b"\0")
+        for k in range(wide * high):
+            w.block(list(full[64 * k : 64 * k + 64]), 0, by_symbol(media.DC), by_symbol(media.AC))
+            w.close()
+            w.out += bytes([0xFF, 0xD0 + k % 8]) if k < wide * high - 1 else b"\xff\xd9"
+        assert media.parse(image)["data"] == w.out and media.encode(payload) == image
+    for payload, image, (info, cells) in zip(payloads, images, media.decode_many(images), strict=True):
+        assert media.payload_of(info, cells) == payload and (media._general(media.parse(image)) == cells).all()
+    text = b"a plain text, well within ASCII".ljust(64, b"\0")
+    image = media.encode(text)
+    broken = image.replace(media.AC[1], media.AC[1][1:2] + media.AC[1][:1] + media.AC[1][2:])  # two symbols change places
+    assert broken != image
+    try:
+        assert media.read_payload(broken)[0] != text
+    except media.BadImage:
+        pass
+    with pytest.raises(media.BadImage):
+        media.decode(image[:-20])
+
+
+def test_media_reads_colour_images():
+    """Three components, the first with 2 x 2 blocks a unit, two tables of each kind, restarts after two units."""
+    rng = random.Random(8)
+    dcs = [media._table({s: 4 for s in range(12)}), media._table({s: 5 - (s < 4) for s in range(12)})]
+    acs = [media._table({r << 4 | s: 8 for r in range(16) for s in range(11) if s or r in (0, 15)}), media._table({r << 4 | s: 9 for r in range(16) for s in range(11) if s or r in (0, 15)})]
+    block = lambda: [rng.randint(-300, 300)] + [rng.randint(-500, 500) if rng.random() < 0.1 else 0 for _ in range(63)]
+    w, units, want = Bits(), 3 * 2, []
+    for unit in range(units):
+        if unit % 2 == 0:
+            last = [0, 0, 0]
+            if unit:
+                w.close()
+                w.out += bytes([0xFF, 0xD0 + (unit // 2 - 1) % 8])
+        for comp, n in ((0, 4), (1, 1), (2, 1)):
+            for _ in range(n):
+                values = block()
+                last[comp] = w.block(values, last[comp], by_symbol(dcs[comp > 0]), by_symbol(acs[comp > 0]))
+                if comp == 0:
+                    want.append(values)
+    w.close()
+    seg, table = media._segment, lambda kind, t: bytes([kind, *t[0]]) + t[1]
+    image = b"\xff\xd8" + seg(0xDB, bytes([0] + [8] * 64)) + seg(0xC0, bytes([8, 0, 32, 0, 48, 3, 1, 0x22, 0, 2, 0x11, 0, 3, 0x11, 0]))
+    image += b"".join(seg(0xC4, table(k, dcs[k]) + table(16 + k, acs[k])) for k in (0, 1)) + seg(0xDD, b"\0\2") + seg(0xDA, bytes([3, 1, 0, 2, 0x11, 3, 0x11, 0, 63, 0])) + w.out + b"\xff\xd9"
+    info, cells = media.decode(image)
+    assert cells.tolist() == want
+    thumb = media.thumbnail(info, cells)
+    assert thumb.shape == (4, 6) and thumb[0, 1] == min(255, max(0, want[1][0] + 128)) and thumb[1, 0] == min(255, max(0, want[2][0] + 128))
+
+
+def test_media_features(spark):
+    """Sizes, hashes and the thumbnail's bits from the payload alone."""
+    rng = random.Random(9)
+    texts = [None, "", "x", "é" * 300, prose(900), "".join(chr(rng.randrange(32, 700)) for _ in range(5000)), prose(20)]
+    frame = spark.createDataFrame([(i, t, "m") for i, t in enumerate([*texts, *texts])], "doc_id long, text string, image string")
+    got = {r.doc_id: r for r in media.media_columns(frame, with_image=True).collect()}
+    for i, t in enumerate(texts):
+        raw = (t or "").encode()
+        payload = raw + bytes(-len(raw) % 64 or (0 if raw else 64))
+        wide, high = media._grid(len(payload) // 64)
+        first = [min(255, 128 + b) for b in payload[::64]] + [128] * (wide * high - len(payload) // 64)
+        thumb = [first[r * wide : (r + 1) * wide] for r in range(high)]
+        bits = ""
+        for r in range(8):
+            for c in range(8):
+                cell = [v for row in thumb[r * high // 8 : max(r * high // 8 + 1, (r + 1) * high // 8)] for v in row[c * wide // 8 : max(c * wide // 8 + 1, (c + 1) * wide // 8)]]
+                bits += str(int(sum(cell) * wide * high >= sum(first) * len(cell)))
+        r = got[i]
+        assert (r.n_bytes, r.feature) == (len(raw), f"{8 * wide}x{8 * high}:{int(bits, 2):016x}")
+        assert (r.media_bytes, r.media_sha256) == (len(r.image), hashlib.sha256(r.image).hexdigest()) and got[i + len(texts)][1:] == r[1:]
+
+
 def brute_components(rows):
     low = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
     sets = []
