@@ -1,26 +1,31 @@
 """Secret scans through an incremental blob ledger.
 
-Every version of a text is addressed by the SHA-256 of its UTF-8 bytes. The ledger holds the pairs
-(blob, rule version) that were scanned already with what was found; only pairs that it lacks are
-scanned, once each, and the findings are joined back to all rows that hold the blob.
-
-A null text is the empty blob. Repeated rows and copies share one scan. Columns other than the id
-and the text are ignored; an empty table gives an empty result.
+Every version of a text is addressed by the SHA-256 of its UTF-8 bytes. The ledger, a Parquet table in
+the shared folder, holds the pairs (blob, rule version) that were scanned already with what was found. A run
+hashes all rows, scans only the pairs that the ledger lacks, appends their findings and joins the
+ledger's findings back to all rows that hold the blob. The rule version is a checksum of the rules, so that a
+changed rule is scanned anew. A ledger belongs to a corpus (its path); the second run over it scans nothing.
+
+Texts are scanned where they are read: on an empty ledger no text is shuffled, and copies within a task are
+scanned once; otherwise a bounded broadcast filter and a join leave the unseen blobs' rows alone. Findings join
+by blob; those of a blob with many rows are dealt over salts, and blobs without findings need no join.
+
+A null text is the empty blob. Repeated rows and copies share one entry. Columns other than the id
+and the text are ignored; an empty table gives an empty result and leaves the ledger as it is.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_of
-
-RULE_VERSION = 1
+from .common import Members, exists, partitions, shared_dir, table, text_of
 
 #: The base kinds in their order, pattern, group that is measured, least length.
 BASE = (
@@ -36,6 +41,8 @@ MORE = (
     ("forge", r"\b(?:gh[pousr]_|glpat-|xox[abprs]-)[A-Za-z0-9_-]+", re.ASCII, 0, 20),
     ("url", r"\b[a-z][a-z0-9+.]*://[^\s:/@]+:([^\s:/@]+)@", re.ASCII, 1, 4),
 )
+#: The pair's second half.
+RULE_VERSION = zlib.crc32(repr(BASE + MORE).encode())
 _RULES = [(kind, re.compile(pattern, flags), group, least) for kind, pattern, flags, group, least in BASE + MORE]
 
 
@@ -55,36 +62,78 @@ def _digest(spans: list[tuple[str, int, int]]) -> tuple[int, int, int, str, str]
 
 
 _FOUND = "blob string, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
+_NAMES = [c.split()[0] for c in _FOUND.split(", ")]
+LEDGER = f"{_FOUND}, rule_version long"
+#: Blobs that a task remembers as scanned.
+REMEMBERED = 500_000
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen: set[str] = set()
     for b in batches:
-        rows = [_digest(find_secrets(t)) for t in b.column("text").to_pylist()]
-        cols = list(zip(*rows, strict=True)) or [[]] * 5
-        yield pa.RecordBatch.from_arrays(
-            [b.column("blob"), *(pa.array(c, pa.int64()) for c in cols[:3]), *(pa.array(c, pa.string()) for c in cols[3:])],
-            ["blob", "n_assign", "n_access", "n_hex", "base_sha256", "spans"],
-        )
+        blobs, rows = b.column("blob"), []
+        for blob, text in zip(blobs.to_pylist(), b.column("text").to_pylist(), strict=True):
+            if blob not in seen:
+                if len(seen) >= REMEMBERED:
+                    seen.clear()
+                seen.add(blob)
+                rows.append((blob, *_digest(find_secrets(text))))
+        if rows:
+            kinds = [pa.string(), *[pa.int64()] * 3, pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], _NAMES)
 
 
-def scan_blobs(docs: DataFrame, ledger: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """New ledger rows: the findings of each blob of docs that the ledger lacks for RULE_VERSION."""
+class Ledger:
+    """What was scanned already, as a table that is only appended to."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def read(self) -> DataFrame | None:
+        """Its rows for the rules as they are; None while there is no table. A run that died may have left a pair twice."""
+        if not exists(self.spark, self.path):
+            return None
+        rows = self.spark.read.schema(LEDGER).parquet(self.path).where(F.col("rule_version") == RULE_VERSION)
+        return rows.dropDuplicates(["blob"])
+
+    def append(self, rows: DataFrame) -> None:
+        rows.write.mode("append").parquet(self.path)
+
+
+def ledger_of(spark: SparkSession, corpus: str) -> Ledger:
+    """The ledger of a corpus in the shared folder."""
+    return Ledger(spark, f"{shared_dir(spark)}/rippleframe-secret-ledger/{hashlib.sha256(corpus.encode()).hexdigest()[:24]}")
+
+
+def addressed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
-    blobs = rows.select("doc_id", F.sha2("text", 256).alias("blob")).groupBy("blob").agg(F.min("doc_id").alias("doc_id"))
-    if ledger is not None:
-        blobs = blobs.join(ledger.where(F.col("rule_version") == RULE_VERSION).select("blob"), "blob", "left_anti")
-    # One row stands for each unseen blob; a null or repeated id may stand for several, so the hash is held against it.
-    texts = rows.join(blobs, rows["doc_id"].eqNullSafe(blobs["doc_id"])).where(F.sha2("text", 256) == F.col("blob")).select("blob", "text")
-    return texts.mapInArrow(_scan, _FOUND).dropDuplicates(["blob"]).withColumn("rule_version", F.lit(RULE_VERSION))
+    return rows.withColumn("blob", F.sha2("text", 256))
 
 
-def findings(docs: DataFrame, ledger: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs with the digest of its blob's findings."""
-    new = scan_blobs(docs, ledger, id_col, text_col)
+def scan_blobs(docs: DataFrame, ledger: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """New ledger rows: the findings of each blob of docs that the ledger lacks for the rules as they are."""
+    rows = addressed(docs, id_col, text_col).select("blob", "text")
     if ledger is not None:
-        new = new.unionByName(ledger.where(F.col("rule_version") == RULE_VERSION).select(new.columns))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.sha2(text_of(text_col), 256).alias("blob"))
-    return rows.join(new, "blob").drop("rule_version")
+        unseen = rows.select("blob").distinct().join(ledger.select("blob"), "blob", "left_anti").withColumn("h", F.xxhash64("blob"))
+        rows = Members(unseen, "h").keep(rows.withColumn("h", F.xxhash64("blob")), "h").drop("h").join(unseen.drop("h"), "blob").select("blob", "text")
+    return rows.mapInArrow(_scan, _FOUND).dropDuplicates(["blob"]).withColumn("rule_version", F.lit(RULE_VERSION).cast("long"))
+
+
+def findings(docs: DataFrame, ledger: Ledger, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of docs with its blob and the digest of the blob's findings; the ledger is brought up to date first."""
+    ledger.append(scan_blobs(docs, ledger.read(), id_col, text_col))
+    found = ledger.read().where("spans <> ''").drop("rule_version")
+    rows = addressed(docs, id_col, text_col).select("doc_id", "blob")
+    counts = rows.groupBy("blob").agg(F.count(F.lit(1)).alias("n"))
+    # At most 4 blobs a partition can have more rows than a share.
+    share = F.greatest(F.lit(1), F.call_function("div", F.sum("n"), F.lit(4 * partitions(docs.sparkSession))))
+    hot = counts.join(F.broadcast(counts.agg(share.alias("share")))).where("n > share").select("blob", F.ceil(F.col("n") / F.col("share")).cast("int").alias("salts"))
+    rows = rows.join(F.broadcast(hot), "blob", "left")
+    rows = rows.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), "salts").cast("int"), F.lit(0))).drop("salts")
+    found = found.join(F.broadcast(hot), "blob", "left").select(*_NAMES, F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
+    none = dict(zip(("n_assign", "n_access", "n_hex", "base_sha256", "spans"), _digest([]), strict=True))
+    out = rows.join(found, ["blob", "salt"], "left")
+    return out.select("doc_id", "blob", *[F.coalesce(c, F.lit(v)).alias(c) for c, v in none.items()])
 
 
 def masked(text: Column, spans: Column, mask: str = "[secret]") -> Column:
@@ -104,4 +153,5 @@ def masked(text: Column, spans: Column, mask: str = "[secret]") -> Column:
 
 
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return findings(table(spark, sf_dir, "documents")).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "blob")
+    rows = findings(table(spark, sf_dir, "documents"), ledger_of(spark, sf_dir))
+    return rows.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "blob")
