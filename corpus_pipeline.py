@@ -11,53 +11,69 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rippleframe.llm import exact_dedup, jaccard_join, packing, secrets, toxicity
-from rippleframe.llm.common import cut, table
+from rippleframe.llm.common import cut, discard, table
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """docs with a key _row for each row, written once so that all readers see the same keys."""
-    return cut(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a key for each row, written once so that all readers see the same keys, and the key's name, which docs lacks."""
+    name = "row"
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name = f"_{name}"
+    return cut(docs.withColumn(name, F.monotonically_increasing_id()), "rows"), name
+
+
+def narrow(rows: DataFrame, row: str) -> DataFrame:
+    """What the operators read of rows: row (the key), doc_id and text, so that no other column's name matters."""
+    return rows.select(F.col(row).alias("row"), "doc_id", "text")
+
+
+def kept(docs: DataFrame, rows: DataFrame, row: str, keys: DataFrame, how: str) -> DataFrame:
+    """The rows whose key is (left_semi) or isn't (left_anti) among keys (row)."""
+    return rows.join(keys.select(F.col("row").alias(row)), row, how).select(docs.columns)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with a score of 0.5 or more go. Labels are those of the corpus' labels table."""
-    rows = keyed(docs)
-    scores = toxicity.score(rows, toxicity.train(docs, table(spark, sf_dir, "labels")), "_row")
-    gone = scores.where("predicted = 1").select(F.col("doc_id").alias("_row"))
-    return rows.join(gone, "_row", "left_anti").select(docs.columns)
+    rows, row = keyed(docs)
+    scores = toxicity.score(narrow(rows, row), toxicity.train(docs.select("doc_id", "text"), table(spark, sf_dir, "labels")), "row")
+    return kept(docs, rows, row, scores.where("predicted = 1").select(F.col("doc_id").alias("row")), "left_anti")
 
 
 def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts one row stays: the longest, then the smallest doc_id; a null one comes last."""
-    rows = keyed(docs)
-    groups = exact_dedup.exact_groups(rows.select(_order().alias("key"), "text"), "key")
-    kept = groups.where("kept").select(F.col("doc_id._row").alias("_row"))
-    return rows.join(kept, "_row", "left_semi").select(docs.columns)
+    rows, row = keyed(docs)
+    groups = exact_dedup.exact_groups(narrow(rows, row).select(_order().alias("key"), "text"), "key")
+    return kept(docs, rows, row, groups.where("kept").select("doc_id.row"), "left_semi")
 
 
 def keep_one_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts that links join, the one with the smallest doc_id stays; a null one comes last."""
-    rows = keyed(docs)
-    groups = cut(jaccard_join.jaccard_components(rows, "_row").select(F.col("doc_id").alias("_row"), "component_id"), "near")
-    first = groups.join(rows.select("_row", "doc_id"), "_row").groupBy("component_id").agg(F.min(_order()).alias("first"))
-    return rows.join(first.select("first._row"), "_row", "left_semi").select(docs.columns)
+    rows, row = keyed(docs)
+    some = narrow(rows, row)
+    groups = cut(jaccard_join.jaccard_components(some.select("row", "text"), "row").select(F.col("doc_id").alias("row"), "component_id"), "near")
+    first = groups.join(some.select("row", "doc_id"), "row").groupBy("component_id").agg(F.min(_order()).alias("first"))
+    return kept(docs, rows, row, first.select("first.row"), "left_semi")
 
 
 def _order() -> Column:
-    return F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row")
+    return F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each span that the scan found becomes [secret]; overlapping spans become one. All documents stay."""
-    found = secrets.findings(docs).where("spans <> ''").select("blob", "spans").dropDuplicates(["blob"])
-    rows = docs.withColumn("_blob", F.sha2(F.coalesce("text", F.lit("")), 256))
-    rows = rows.join(found, rows["_blob"] == found["blob"], "left").withColumn("text", secrets.masked(F.col("text"), F.col("spans")))
-    return rows.select(docs.columns)
+    """Each span that the scan found becomes [secret]; overlapping spans become one. All documents stay.
+
+    The stage has a ledger of its own, as its texts are those that the stages before kept.
+    """
+    rows, row = keyed(docs)
+    found = secrets.findings(narrow(rows, row), secrets.ledger_of(spark, f"pipeline over {sf_dir}"), "row").where("spans <> ''")
+    found = found.select(F.col("doc_id").alias(row), F.col("spans").alias(f"{row}_spans"))
+    rows = rows.select(row, *[c for c in docs.columns]).join(found, row, "left")
+    return rows.withColumn("text", secrets.masked(F.col("text"), F.col(f"{row}_spans"))).select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of packed windows."""
-    return packing.pack_documents(docs, packing.vocabulary())
+    return packing.pack_documents(docs.select("doc_id", "text"), packing.vocabulary())
 
 
 STAGES = [("toxicity", drop_toxic), ("exact_dedup", keep_one_copy), ("ngram_jaccard", keep_one_near), ("secret_scans", mask_secrets), ("packing", pack)]
@@ -69,5 +85,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, docs = docs, cut(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(before)  # the stage's table is whole; its input is read no more
     return STAGES[-1][1](spark, docs, sf_dir)
