@@ -95,5 +95,19 @@ class Members:
         return both.where(bit == 1).drop("_page", "_map")
 
 
+def salted_join(rows: DataFrame, side: DataFrame, key: str, how: str = "left") -> DataFrame:
+    """rows joined with side (a row per key); the rows of a key with many of them are dealt over several salts.
+
+    At most four keys a partition can have more rows than a share, so the table of salts is small.
+    """
+    counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    share = F.greatest(F.lit(1), F.call_function("div", F.sum("_n"), F.lit(4 * partitions(rows.sparkSession))))
+    hot = counts.join(F.broadcast(counts.agg(share.alias("_share")))).where("_n > _share").select(key, F.ceil(F.col("_n") / F.col("_share")).cast("int").alias("_salts"))
+    left = rows.join(F.broadcast(hot), key, "left")
+    left = left.withColumn("_salt", F.coalesce(F.pmod(F.monotonically_increasing_id(), "_salts").cast("int"), F.lit(0))).drop("_salts")
+    right = side.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+    return left.join(right, [key, "_salt"], how).drop("_salt")
+
+
 def text_of(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))

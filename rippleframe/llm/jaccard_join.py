@@ -1,18 +1,25 @@
 """N-gram Jaccard join by vertical partitioning.
 
-Shingles have a global order: by how many texts hold them, then by hash. The order is cut into fragments. In each fragment the texts that share a shingle of their prefixes (the first
-n - ceil(t n) + 1 in the order) meet, their partial overlaps are counted, and the counts are summed
-per pair over the fragments. Length and position filters drop pairs that can't reach the threshold; no
-pair at or above it is lost. Pairs that remain are held against each other whole.
+Shingles have a global order: by how many texts hold them, then by hash. The order is cut into fragments of
+about the same number of shingles. Twice, what texts hold in a fragment is compared there and the counts are summed per pair:
 
-Texts with the same set are one class from the start. A group of g texts that share a shingle does not
+* Candidates. In each fragment the texts that share a shingle of their prefixes (the first n - ceil(t n) + 1
+  in the order) meet and their partial overlaps are counted. Length and position filters drop pairs that can't
+  reach the threshold; no pair at or above it is lost. The sums choose whom a text is tried with first.
+* Links. For the pairs to be tried, the partial overlaps of the whole sets are counted fragment by fragment, and
+  the sum of a pair decides whether it is a link.
+
+A shingle that the counts show in one text only can't be common to two; it keeps its place in the order but
+isn't sent. Texts with the same set are one class from the start. A group of g texts that share a shingle does not
 give g*g pairs: each text first meets only the group's heads (the one whose shingles are the most common, which
-has the fewest edits of its own, and the smallest by a hash), and those found alike join components. Only where a group still holds several components are the pairs between different
-components compared, so no link between components is missed.
+has the fewest edits of its own, and the smallest by a hash), and those found alike join components. Only where a
+group still holds several components are the pairs between different components compared, in blocks of at
+most BLOCK texts of neighbouring sizes, so a large group is many tasks and no link between components is missed.
 
 The counts behind the order cover all texts in a sketch of fixed size (SKETCH places, a byte each when
-collected); shingles that share a place share a count, which changes the cost, never the result. Null and empty texts have no shingles and are linked with nothing. Repeated rows are a
-class. Sets are named by 64-bit hashes. Columns other than the id and the text are ignored.
+collected); shingles that share a place share a count, which changes the cost, never the result. Null and empty
+texts have no shingles and are linked with nothing. Repeated rows are a class. Sets are named by 64-bit hashes.
+Columns other than the id and the text are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, discard, partitions, table, text_of
+from .common import cut, discard, partitions, salted_join, table, text_of
 from .graph import components
 from .shingles import mix, shingle_sets, signature
 
@@ -34,8 +41,16 @@ from .shingles import mix, shingle_sets, signature
 THRESHOLD = 80
 #: Places of the sketch of counts, the rows that it travels in, and the shingles that a task holds before it adds them.
 SKETCH, CHUNKS, HELD = 1 << 22, 64, 1_000_000
+#: Sets that a task remembers, so as not to send them again; one that is sent twice counts once.
+REMEMBERED = 500_000
 #: Prefix entries that a fragment holds on average.
 FRAGMENT = 600_000
+#: Fragments of whole sets.
+VERTICAL = 8
+#: Texts of a group that are compared in one task.
+BLOCK = 1024
+#: The level of a shingle that was counted once.
+ONCE = 8
 _DESCRIBED = ["doc_id", "n", "sig", "chunk", "counts"]
 _ENTRY = np.dtype([("token", "u1", 5), ("sig", "<i8"), ("n", "<u4"), ("place", "u1"), ("centre", "<u2")])
 
@@ -80,12 +95,31 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _levels(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """The sum of a chunk's counts as levels of an eighth of an octave."""
+    """The sum of a chunk's counts as levels of an eighth of an octave, and how many shingles each level has."""
     total = np.zeros(SKETCH // CHUNKS, np.uint64)
     for c in rows["counts"]:
         total += np.frombuffer(zlib.decompress(c), np.uint32)
     level = np.minimum(8 * np.log2(1 + total.astype(np.float64)), 255).astype(np.uint8)
-    return pd.DataFrame({"chunk": [key[0]], "levels": [level.tobytes()]})
+    mass = np.bincount(level, total.astype(np.float64), 256)
+    return pd.DataFrame({"chunk": [key[0]], "levels": [level.tobytes()], "mass": [mass.tobytes()]})
+
+
+class Order:
+    """The global order of shingles: levels of the sketch's places, and where each level begins, as a share of all."""
+
+    def __init__(self, levels: np.ndarray, mass: np.ndarray):
+        self.levels = levels
+        mass = np.where(np.arange(256) > ONCE, mass, 0.0)  # others are never sent
+        self.width = mass / max(mass.sum(), 1.0)
+        self.begin = np.cumsum(self.width) - self.width
+
+    def level(self, x: np.ndarray) -> np.ndarray:
+        return self.levels[x & np.uint64(SKETCH - 1)]
+
+    def fragment(self, x: np.ndarray, level: np.ndarray, fragments: int) -> np.ndarray:
+        """Within a level by the hash's high half."""
+        place = self.begin[level] + self.width[level] * ((x >> np.uint64(32)).astype(np.float64) / 2.0**32)
+        return np.minimum((place * fragments).astype(np.int64), fragments - 1)
 
 
 def prefix_length(n: int, threshold: int = THRESHOLD) -> int:
@@ -98,41 +132,42 @@ def _fits(na: np.ndarray, pa_: np.ndarray, nb: np.ndarray, pb: np.ndarray, thres
     return (100 * np.minimum(na, nb) >= threshold * np.maximum(na, nb)) & (np.minimum(na - pa_, nb - pb) >= least)
 
 
-def _prefixes(levels: np.ndarray, fragments: int, threshold: int):
+def _prefixes(order: Order, fragments: int, threshold: int):
     """Rows (fragment, entries): the prefix entries of distinct sets, by fragment of the order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        held: list[tuple[np.ndarray, int, int, int]] = []
+        held: list[tuple[np.ndarray, np.ndarray, int, int, int]] = []
         size = 0
 
         def give() -> pa.RecordBatch:
-            lengths = [len(t) for t, *_ in held]
-            token = np.concatenate([t for t, *_ in held])
+            lengths = [len(h[0]) for h in held]
+            token = np.concatenate([h[0] for h in held])
             entry = np.zeros(len(token), _ENTRY)
-            entry["sig"] = np.repeat([s for _, s, _, _ in held], lengths)
-            entry["n"] = np.repeat([n for _, _, n, _ in held], lengths)
-            entry["centre"] = np.repeat([c for *_, c in held], lengths)
-            at = np.concatenate([np.arange(k) for k in lengths])
-            entry["place"] = at * 255 // np.maximum(entry["n"], 1)
+            for k, name in enumerate(("sig", "n", "centre"), 2):
+                entry[name] = np.repeat([h[k] for h in held], lengths)
+            entry["place"] = np.concatenate([h[1] for h in held]) * 255 // np.maximum(entry["n"], 1)
             # Within a fragment the low 40 bits name a shingle; others that share them only cost a comparison.
             entry["token"] = token.view(np.uint8).reshape(-1, 8)[:, :5]
-            part = ((token >> np.uint64(40)) * np.uint64(fragments) >> np.uint64(24)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            cuts = np.flatnonzero(np.diff(part[order])) + 1
-            rows = [(int(part[o[0]]), entry[o].tobytes()) for o in np.split(order, cuts)]
+            part = order.fragment(token, order.level(token), fragments)
+            by = np.argsort(part, kind="stable")
+            cuts = np.flatnonzero(np.diff(part[by])) + 1
+            rows = [(int(part[o[0]]), entry[o].tobytes()) for o in np.split(by, cuts)]
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["fragment", "entries"])
 
         for _, sets in _sets(batches):
             for x in sets:
                 if not len(x) or (s := signature(x)) in seen:
                     continue
+                if len(seen) >= REMEMBERED:
+                    seen.clear()
                 seen.add(s)
-                level = levels[x & np.uint64(SKETCH - 1)]
-                x = x[np.argsort(level, kind="stable")]
-                p = prefix_length(len(x), threshold)
-                held.append((x[:p], s, len(x), int(256 * level.mean())))
-                size += p
+                level = order.level(x)
+                by = np.argsort(level, kind="stable")[: prefix_length(len(x), threshold)]
+                at = np.flatnonzero(level[by] > ONCE)
+                if len(at):
+                    held.append((x[by[at]], at, s, len(x), int(256 * level.mean())))
+                    size += len(at)
             if size >= 1_000_000:
                 yield give()
                 held, size = [], 0
@@ -205,33 +240,55 @@ def _overlaps(pairs: np.ndarray, sig: np.ndarray, token: np.ndarray) -> np.ndarr
     return out
 
 
-def _verify(threshold: int):
+def _pieces(order: Order):
+    """Rows (sig, n, fragment, shingles): what the sets that are asked for hold in each fragment of the order, once for each set."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for b in batches:
-            keep = []
-            left, right = b.column("ta").to_pylist(), b.column("tb").to_pylist()
-            for lo in range(0, len(left), 128):
-                xs, ys = shingle_sets(left[lo : lo + 128]), shingle_sets(right[lo : lo + 128])
-                for x, y in zip(xs, ys, strict=True):
-                    common = len(np.intersect1d(x, y, assume_unique=True))
-                    keep.append(100 * common >= threshold * (len(x) + len(y) - common) and common > 0)
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            sigs, texts, rows = b.column("sig").to_pylist(), b.column("text").to_pylist(), []
+            for lo in range(0, len(sigs), 256):
+                for s, x in zip(sigs[lo : lo + 256], shingle_sets(texts[lo : lo + 256]), strict=True):
+                    # An id may stand on several texts, and a set on several rows.
+                    if not len(x) or s in seen or signature(x) != s:
+                        continue
+                    if len(seen) >= REMEMBERED:
+                        seen.clear()
+                    seen.add(s)
+                    level = order.level(x)
+                    y = x[level > ONCE]
+                    part = order.fragment(y, level[level > ONCE], VERTICAL)
+                    rows += [(s, len(x), f, y[part == f].tobytes()) for f in np.unique(part).tolist()]
+            if rows:
+                cols = list(zip(*rows, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["sig", "n", "fragment", "shingles"])
 
     return run
 
 
+def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The common shingles of a pair in one fragment."""
+    for b in batches:
+        common = [
+            len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
+            for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True)
+        ]
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("a", "b", "na", "nb")), pa.array(common, pa.int64())], ["a", "b", "na", "nb", "overlap"])
+
+
 def _cross(threshold: int):
-    """All pairs of a run between different components that the filters leave."""
+    """The pairs of a block, or of two, between different components that the filters leave."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["n", "sig"])
-        sig, n, label = (rows[c].to_numpy(np.int64) for c in ("sig", "n", "label"))
+        rows = rows.drop_duplicates("sig").sort_values(["n", "sig"])
+        sig, n, label, part = (rows[c].to_numpy(np.int64) for c in ("sig", "n", "label", "part"))
         place = np.floor(rows["place"].to_numpy() * n + 1e-9).astype(np.int64)
+        one = (part == part[0]).all()  # a block with itself
         found = []
         for i in range(1, len(sig)):
             lo = np.searchsorted(n, -(-threshold * n[i] // 100))
             j = np.arange(lo, i)
-            j = j[(label[j] != label[i]) & _fits(n[j], place[j], n[i], place[i], threshold)]
+            j = j[(label[j] != label[i]) & (one | (part[j] != part[i])) & _fits(n[j], place[j], n[i], place[i], threshold)]
             if len(j):
                 found.append(np.stack([np.minimum(sig[j], sig[i]), np.maximum(sig[j], sig[i])], 1))
         got = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
@@ -240,23 +297,42 @@ def _cross(threshold: int):
     return run
 
 
+def _block_pairs(mixed: DataFrame, threshold: int) -> DataFrame:
+    """Members of runs (run, sig, n, place, label), once for each pair of blocks that they are in: with pair (its name) and part.
+
+    Members are parted by size into bands of which only neighbours can hold links, and bands by hash into blocks.
+    """
+    mixed = mixed.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / threshold)) + 1e-9).cast("long"))
+    sizes = mixed.groupBy("run", "band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    around = sizes.select("run", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band"), (F.col("band")).alias("other"), "blocks")
+    around = around.groupBy("run", "band").agg(F.collect_list(F.struct("other", "blocks")).alias("near"))
+    rows = mixed.join(around, ["run", "band"]).withColumn("mine", F.expr("filter(near, x -> x.other = band)[0].blocks"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("sig"), F.col("mine")).cast("int"))
+    rows = rows.select("*", F.explode("near").alias("o")).select("*", F.explode(F.sequence(F.lit(0), F.col("o.blocks") - 1)).alias("with"))
+    # A pair of blocks is named by its lower one first.
+    here, there = F.struct("band", "block"), F.struct(F.col("o.other").alias("band"), F.col("with").alias("block"))
+    pair = F.xxhash64("run", F.least(here, there)["band"], F.least(here, there)["block"], F.greatest(here, there)["band"], F.greatest(here, there)["block"])
+    return rows.select("sig", "n", "place", "label", pair.alias("pair"), F.xxhash64("band", "block").alias("part"))
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest id among all texts reachable by links."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     seen = cut(rows.mapInArrow(_describe, "doc_id long, n long, sig long, chunk long, counts binary"), "sets")
     texts = seen.where("chunk is null").select("doc_id", "n", "sig")
-    sketch = seen.where("chunk is not null").select("chunk", "counts").groupBy("chunk").applyInPandas(_levels, "chunk long, levels binary")
-    levels = np.zeros((CHUNKS, SKETCH // CHUNKS), np.uint8)
+    sketch = seen.where("chunk is not null").select("chunk", "counts").groupBy("chunk").applyInPandas(_levels, "chunk long, levels binary, mass binary")
+    levels, mass = np.zeros((CHUNKS, SKETCH // CHUNKS), np.uint8), np.zeros(256)
     for row in sketch.collect():  # at most CHUNKS rows
         levels[row["chunk"]] = np.frombuffer(row["levels"], np.uint8)
-    levels = levels.ravel()
+        mass += np.frombuffer(row["mass"])
+    order = Order(levels.ravel(), mass)
 
     sets = texts.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
     sets = cut(sets, "classes")
     held = sets.agg(F.sum("n")).first()[0] or 0
     fragments = max(1, partitions(spark), int(held * (100 - threshold) // 100 // FRAGMENT))
-    entries = rows.select("doc_id", "text").mapInArrow(_prefixes(levels, fragments, threshold), "fragment long, entries binary")
+    entries = rows.select("doc_id", "text").mapInArrow(_prefixes(order, fragments, threshold), "fragment long, entries binary")
     met = cut(entries.groupBy("fragment").applyInPandas(_meet(threshold), _PAIRS), "met")
 
     pairs = met.where("a is not null").groupBy("a", "b").agg(F.sum("overlap").alias("overlap"))
@@ -271,11 +347,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         chosen = cut(chosen, f"{name}-pairs")
         need = chosen.select("a").union(chosen.select("b")).distinct().join(sets.select(F.col("sig").alias("a"), "doc_id"), "a")
         got = rows.join(need, rows["doc_id"].eqNullSafe(need["doc_id"])).select(F.col("a").alias("sig"), "text")
-        got = got.mapInArrow(_own, "sig long, text string")
-        got = cut(got, f"{name}-texts")
-        both = chosen.join(got.select(F.col("sig").alias("a"), F.col("text").alias("ta")), "a")
-        both = both.join(got.select(F.col("sig").alias("b"), F.col("text").alias("tb")), "b")
-        out = cut(both.select("a", "b", "ta", "tb").mapInArrow(_verify(threshold), "a long, b long").distinct(), f"{name}-links")
+        # A set that several tasks sent must count once.
+        got = got.mapInArrow(_pieces(order), "sig long, n long, fragment long, shingles binary").dropDuplicates(["sig", "fragment"])
+        got = cut(got, f"{name}-pieces")
+        both = chosen.join(got.select(F.col("sig").alias("a"), F.col("n").alias("na"), "fragment", F.col("shingles").alias("x")), "a")
+        both = both.join(got.select(F.col("sig").alias("b"), F.col("n").alias("nb"), "fragment", F.col("shingles").alias("y")), ["b", "fragment"])
+        sums = both.select("a", "b", "na", "nb", "x", "y").mapInArrow(_partial, "a long, b long, na long, nb long, overlap long")
+        sums = sums.groupBy("a", "b", "na", "nb").agg(F.sum("overlap").alias("overlap"))
+        enough = 100 * F.col("overlap") >= threshold * (F.col("na") + F.col("nb") - F.col("overlap"))
+        out = cut(sums.where(enough).select("a", "b"), f"{name}-links")
         discard(got)
         return out
 
@@ -285,7 +365,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     runs = runs.join(label.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
     runs = cut(runs, "runs")
     mixed = runs.groupBy("run").agg((F.min("label") != F.max("label")).alias("mixed")).where("mixed").select("run")
-    cross = runs.join(mixed, "run").repartition(partitions(spark), "run").groupBy("run").applyInPandas(_cross(threshold), "a long, b long").distinct()
+    blocks = _block_pairs(runs.join(mixed, "run"), threshold)
+    cross = blocks.groupBy("pair").applyInPandas(_cross(threshold), "a long, b long").distinct()
     # Pairs of two are tried already, and so are those with a head; groups of two hold just such a pair.
     small = pairs.select("a", "b").join(label.withColumnRenamed("node", "a").withColumnRenamed("label", "la"), "a", "left")
     small = small.join(label.withColumnRenamed("node", "b").withColumnRenamed("label", "lb"), "b", "left")
@@ -294,23 +375,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     links = links.unionByName(linked(more, "rest"))
     label = components(links)
 
-    top = texts.join(label.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
-    least = sets.join(label.withColumnRenamed("node", "sig"), "sig", "left").groupBy(F.coalesce("label", "sig").alias("label")).agg(F.min("doc_id").alias("component_id"))
-    out = top.join(least, "label", "left")
+    named = sets.join(label.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "doc_id", F.coalesce("label", "sig").alias("label"))
+    named = cut(named, "named")
+    least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    named = salted_join(named.select("sig", "label"), least, "label").select("sig", "component_id")
+    out = salted_join(texts, named, "sig")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keeps rows whose text has the set that is asked for (an id may stand on several texts)."""
-    seen: set[int] = set()
-    for b in batches:
-        keep = []
-        for s, x in zip(b.column("sig").to_pylist(), shingle_sets(b.column("text").to_pylist()), strict=True):
-            keep.append(len(x) > 0 and s not in seen and signature(x) == s)
-            if keep[-1]:
-                seen.add(s)
-        yield b.filter(pa.array(keep, pa.bool_()))
-
-
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Members, exists, partitions, shared_dir, table, text_of
+from .common import Members, exists, salted_join, shared_dir, table, text_of
 
 #: The base kinds in their order, pattern, group that is measured, least length.
 BASE = (
@@ -124,15 +124,8 @@ def findings(docs: DataFrame, ledger: Ledger, id_col: str = "doc_id", text_col:
     ledger.append(scan_blobs(docs, ledger.read(), id_col, text_col))
     found = ledger.read().where("spans <> ''").drop("rule_version")
     rows = addressed(docs, id_col, text_col).select("doc_id", "blob")
-    counts = rows.groupBy("blob").agg(F.count(F.lit(1)).alias("n"))
-    # At most 4 blobs a partition can have more rows than a share.
-    share = F.greatest(F.lit(1), F.call_function("div", F.sum("n"), F.lit(4 * partitions(docs.sparkSession))))
-    hot = counts.join(F.broadcast(counts.agg(share.alias("share")))).where("n > share").select("blob", F.ceil(F.col("n") / F.col("share")).cast("int").alias("salts"))
-    rows = rows.join(F.broadcast(hot), "blob", "left")
-    rows = rows.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), "salts").cast("int"), F.lit(0))).drop("salts")
-    found = found.join(F.broadcast(hot), "blob", "left").select(*_NAMES, F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
     none = dict(zip(("n_assign", "n_access", "n_hex", "base_sha256", "spans"), _digest([]), strict=True))
-    out = rows.join(found, ["blob", "salt"], "left")
+    out = salted_join(rows, found, "blob")
     return out.select("doc_id", "blob", *[F.coalesce(c, F.lit(v)).alias(c) for c, v in none.items()])
 
 
