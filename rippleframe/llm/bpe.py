@@ -1,34 +1,43 @@
 """Byte-level BPE encoding and decoding.
 
-Two forms share the fold of ranked merges over the bytes of distinct words:
+Three steps:
 
-* ``fold_merges`` folds them in Spark higher-order functions over a table of distinct words, with
-  the rank map as a literal.
-* ``encode_texts`` does whole texts in Arrow batches. A text is cut at single spaces; each distinct
-  chunk is split by the pattern and folded once and then looked up, so the cost follows the distinct
-  chunks of a worker. The table of distinct chunks is bounded and is cleared when full.
+* ``distinct_words`` counts the words (matches of the pattern) of all texts, map-side first.
+* ``fold_merges`` folds the ranked merges over the byte arrays of distinct words in Spark's higher-order
+  functions: the state is an array of binary pieces, a step joins the leftmost pair of the smallest rank, and
+  ranks come from a literal map (small maps found by a checksum). Decoding concatenates the binary pieces.
+* ``encode_texts`` gives every worker the folded words, by a broadcast of at most MOST_WORDS, and puts texts
+  together from them: a text is cut at single spaces, and the ids of each distinct chunk are looked up once.
 
-The README says why the query takes the second form. A null text is empty: no ids, and the digests
-of nothing. Columns other than the id and the text are ignored.
+Words over LONG bytes, whose fold would take the square of their length, and words that are rarer than what
+the broadcast holds are folded where they occur, by the same rule (``merge``); results don't depend on it.
+
+A null text is empty: no ids, and the digests of nothing. A null word has no ids. Repeated rows are encoded row by
+row. The id keeps its type. Columns other than the id and the text are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import re
+import uuid
+import zlib
+from collections import Counter
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_of
+from .common import cut, discard, partitions, table, text_of
 
 #: Distinct chunks, and distinct words, that a worker keeps; only its memory and time depend on them.
 CHUNKS, WORDS = 300_000, 1_000_000
+#: Words that are broadcast, the most frequent ones (some 100 bytes each), and the longest that Spark folds.
+MOST_WORDS, LONG = 400_000, 96
 
 
 def vocabulary() -> str:
@@ -153,19 +162,24 @@ def matches(chunk: str, find: Callable[[str], list[str]]) -> list[str]:
     return find(chunk)
 
 
-class Encoder:
-    """Ids, and the bytes that they decode to, of whole texts."""
+def _finder():
+    import public_tokenizers
+    import regex
+
+    return regex.compile(public_tokenizers.PATTERN).findall
 
-    def __init__(self, path: str):
-        import public_tokenizers
-        import regex
 
-        self.ranks = load_ranks(path)
+class Encoder:
+    """Ids, and the bytes that they decode to, of whole texts; known words are (ids joined by commas, bytes)."""
+
+    def __init__(self, path: str, known: dict[str, tuple[str, bytes]]):
+        self.ranks, self.known, self.find = load_ranks(path), known, _finder()
         self.pieces = {i: b for b, i in self.ranks.items()}
-        self.find = regex.compile(public_tokenizers.PATTERN).findall
         self.chunks = Chunks(self.word, self.chunk)
 
     def word(self, word: str) -> tuple[str, bytes]:
+        if (got := self.known.get(word)) is not None:
+            return got
         ids = list(map(self.ranks.__getitem__, merge(word.encode(), self.ranks)))
         return ",".join(map(str, ids)), b"".join(map(self.pieces.__getitem__, ids))
 
@@ -181,62 +195,120 @@ class Encoder:
         return ids.count(b",") + 1, hashlib.sha256(ids).hexdigest(), hashlib.sha256(b"".join([g[1] for g in got])).hexdigest()
 
 
-@lru_cache(2)
-def encoder(path: str) -> Encoder:
-    """One per Python worker."""
-    return Encoder(path)
-
-
-def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(path)
-        for b in batches:
-            rows = [e.text(t) for t in b.column("text").to_pylist()]
-            n, ids, back = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
-
-
-def rank_literal(path: str, buckets: int = 1 << 16) -> Column:
-    """The rank map as one literal: an array of small maps from hex bytes to rank, found by hash."""
-    import json
-    import zlib
-
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, n) of the words of up to LONG bytes, added up over the task while they fit."""
+    find, chunks, spaced, words = _finder(), Counter(), Counter(), Counter()
+
+    def add() -> None:
+        for chunk, n in chunks.items():
+            for w in matches(chunk, find):
+                words[w] += n
+        chunks.clear()
+
+    def give() -> pa.RecordBatch:
+        some = {w: n for w, n in words.items() if len(w) <= LONG and len(w.encode()) <= LONG}
+        words.clear()
+        return pa.RecordBatch.from_arrays([pa.array(some.keys(), pa.string()), pa.array(some.values(), pa.int64())], ["word", "n"])
+
+    for b in batches:
+        for text in b.column("text").to_pylist():
+            if _EDGE(text):
+                chunks.update(chunks_of(text))
+            else:
+                first, *rest = text.split(" ")  # every space stands alone
+                chunks[first] += 1
+                spaced.update(rest)
+            if len(chunks) + len(spaced) >= CHUNKS:
+                chunks.update({f" {c}": n for c, n in spaced.items()})
+                spaced.clear()
+                add()
+        if len(words) >= WORDS:
+            yield give()
+    chunks.update({f" {c}": n for c, n in spaced.items()})
+    add()
+    if words:
+        yield give()
+
+
+def distinct_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """word, n of all words of up to LONG bytes."""
+    return docs.select(text_of(text_col).alias("text")).mapInArrow(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def rank_literal(path: str, buckets: int) -> Column:
+    """The rank map as one literal: an array of small maps from bytes in hex to rank, found by checksum. The optimizer folds it into a constant."""
     slots: list[dict[str, int]] = [{} for _ in range(buckets)]
-    for b, i in load_ranks(path).items():
-        h = b.hex().upper()
-        slots[zlib.crc32(h.encode()) % buckets][h] = i
-    return F.from_json(F.lit(json.dumps(slots)), "array<map<string,int>>")
+    for word, i in load_ranks(path).items():
+        slots[zlib.crc32(word) % buckets][word.hex().upper()] = i
+    return F.from_json(F.lit(json.dumps(slots, separators=(",", ":"))), "array<map<string,int>>")
 
 
-def fold_merges(words: DataFrame, path: str, word_col: str = "word") -> DataFrame:
+def fold_merges(words: DataFrame, path: str, word_col: str = "word", buckets: int = 1 << 15) -> DataFrame:
     """word, ids (array<int>), decoded (binary) of a table of distinct words, in higher-order functions.
 
-    The state is the array of pieces in hex; each step merges the leftmost pair of the smallest rank.
+    The state is the array of binary pieces; each step merges the leftmost pair of the smallest rank.
     """
-    buckets = 1 << 16
-    ranks = F.broadcast(words.sparkSession.range(1).select(rank_literal(path, buckets).alias("ranks")))
-    rank = lambda h: F.try_element_at(F.col("ranks")[F.crc32(h.cast("binary")) % buckets], h)
+    ranks = rank_literal(path, buckets)
+    rank = lambda p: F.try_element_at(F.get(ranks, (F.crc32(p) % buckets).cast("int")), F.hex(p))
+    raw = F.col(word_col).cast("binary")
 
     def step(pieces: Column, _: Column) -> Column:
-        pairs = F.transform(F.sequence(F.lit(0), F.size(pieces) - 2), lambda i: F.struct(rank(F.concat(pieces[i], pieces[i + 1])).alias("r"), i.alias("i")))
+        pairs = F.transform(F.sequence(F.lit(0), F.size(pieces) - 2), lambda i: F.struct(rank(F.concat(F.get(pieces, i), F.get(pieces, i + 1))).alias("r"), i.alias("i")))
         best = F.array_min(F.filter(pairs, lambda p: p["r"].isNotNull()))
-        merged = lambda i: F.concat(F.slice(pieces, 1, i), F.array(F.concat(pieces[i], pieces[i + 1])), F.slice(pieces, i + 3, F.size(pieces)))
-        return F.when((F.size(pieces) < 2) | best.isNull(), pieces).otherwise(merged(best["i"]))
-
-    raw = F.hex(F.col(word_col).cast("binary"))
-    first = F.transform(F.sequence(F.lit(0), F.octet_length(word_col) - 1), lambda i: F.substring(raw, i * 2 + 1, F.lit(2)))
-    first = F.when(F.octet_length(word_col) == 0, F.array().cast("array<string>")).otherwise(first)
-    out = words.select(word_col).crossJoin(ranks)  # one row: the literal
-    turns = F.sequence(F.lit(0), F.octet_length(word_col))
-    out = out.withColumn("pieces", F.aggregate(turns, first, step))
-    decoded = F.aggregate("pieces", F.lit("").cast("string"), lambda a, p: F.concat(a, p))
-    return out.select(word_col, F.transform("pieces", rank).alias("ids"), F.unhex(decoded).alias("decoded"))
+        merged = lambda i: F.concat(F.slice(pieces, 1, i), F.array(F.concat(F.get(pieces, i), F.get(pieces, i + 1))), F.slice(pieces, i + 3, F.size(pieces)))
+        return F.when(F.size(pieces) < 2, pieces).otherwise(F.coalesce(merged(best["i"]), pieces))
+
+    size = F.octet_length(word_col)
+    single = F.when(size == 0, F.array().cast("array<binary>")).otherwise(F.transform(F.sequence(F.lit(1), size), lambda i: F.substring(raw, i, F.lit(1))))
+    # Most words are pieces themselves; others need fewer merges than they have bytes.
+    turns = F.when(size > 1, F.sequence(F.lit(2), size)).otherwise(F.array().cast("array<int>"))
+    pieces = F.when(rank(raw).isNotNull(), F.array(raw)).otherwise(F.aggregate(turns, single, step))
+    out = words.select(word_col, pieces.alias("pieces"))
+    decoded = F.aggregate("pieces", F.lit(b""), lambda a, p: F.concat(a, p))
+    return out.select(word_col, F.transform("pieces", rank).alias("ids"), decoded.alias("decoded"))
+
+
+def folded_words(docs: DataFrame, path: str, text_col: str = "text", most: int = MOST_WORDS) -> dict[str, tuple[str, bytes]]:
+    """The ids and bytes of the most frequent words of docs, at most about most of them, on the driver."""
+    words = cut(distinct_words(docs, text_col), "words")
+    n = words.count()
+    if n > most:
+        least = words.agg(F.percentile_approx("n", 1 - most / n, 100_000)).first()[0]
+        frequent = words.where(F.col("n") > least)
+    else:
+        frequent = words
+    # The rows are few and their work is much: they are dealt over all tasks.
+    folded = cut(fold_merges(frequent.repartition(partitions(docs.sparkSession)).select("word"), path), "folded")
+    got = folded.select("word", F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").alias("ids"), "decoded").toArrow()
+    discard(words)
+    discard(folded)
+    return dict(zip(got["word"].to_pylist(), zip(got["ids"].to_pylist(), got["decoded"].to_pylist(), strict=True), strict=True))
+
+
+_ENCODERS: dict[tuple, Encoder] = {}
+
+
+def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", most: int = MOST_WORDS) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row."""
+    sent = docs.sparkSession.sparkContext.broadcast(folded_words(docs, path, text_col, most))
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
+    name = uuid.uuid4().hex
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # One for each Python worker and call: workers live longer than tasks.
+        e = _ENCODERS.get((name,))
+        if e is None:
+            _ENCODERS.clear()
+            e = _ENCODERS[(name,)] = Encoder(path, sent.value)
+        for b in batches:
+            found = [e.text(t) for t in b.column("text").to_pylist()]
+            n, ids, back = zip(*found, strict=True) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())],
+                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+            )
+
+    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

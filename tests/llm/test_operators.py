@@ -130,16 +130,34 @@ def test_bpe_equals_tiktoken(docs, none):
         ids = k.encode_ordinary(t or "")
         assert (got[i].n_tokens, got[i].ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
         assert got[i].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
+    few = {r.doc_id: r for r in bpe.encode_texts(docs, bpe.vocabulary(), most=5).collect()}  # the other words are folded where they occur
+    assert few == got
     assert bpe.encode_texts(none, bpe.vocabulary()).count() == 0
+    texts = docs.select(F.concat(F.lit("k"), "doc_id").alias("doc_id"), F.lit("b").alias("word"), F.lit(1).alias("n"), F.lit("").alias("text"))
+    assert {(r.doc_id, r.n_tokens) for r in bpe.encode_texts(texts, bpe.vocabulary()).collect()} == {(f"k{i}" if i is not None else None, 0) for i, _ in TEXTS}
+    e = bpe.Encoder(bpe.vocabulary(), {})
     for t in ["  a  b\n\n c ", "x <|endoftext|> y", "a\x1c b \x1cc", "日本語 テキスト  の", "don't  we'll\t\tgo\r\n", "...a.b, c!! d"]:
-        assert bpe.encoder(bpe.vocabulary()).text(t)[1] == hashlib.sha256(",".join(map(str, k.encode_ordinary(t))).encode()).hexdigest()
+        assert e.text(t)[1] == hashlib.sha256(",".join(map(str, k.encode_ordinary(t))).encode()).hexdigest()
 
 
-def test_bpe_fold_in_spark(spark):
-    e = bpe.encoder(bpe.vocabulary())
-    words = spark.createDataFrame([("hello",), (" été",), ("",)], "word string")
-    for r in bpe.fold_merges(words, bpe.vocabulary()).collect():
-        assert r.ids == [e.ranks[p] for p in bpe.merge(r.word.encode(), e.ranks)] and bytes(r.decoded) == r.word.encode()
+def test_bpe_fold_in_spark(spark, docs):
+    ranks = bpe.load_ranks(bpe.vocabulary())
+    find, words = bpe._finder(), {"", "hello", " été", "aaaaaaaaaaaaa", "\x00\xff", " 日本語テキスト"}
+    for _, t in TEXTS:
+        words |= {w for w in find(t or "") if len(w.encode()) <= bpe.LONG}
+    counted = {r.word: r.n for r in bpe.distinct_words(docs).collect()}
+    assert set(counted) == words - {"", "hello", " été", "aaaaaaaaaaaaa", "\x00\xff", " 日本語テキスト"}
+    assert all(n == sum(find(t or "").count(w) for _, t in TEXTS) for w, n in counted.items())
+    rows = spark.createDataFrame([(w,) for w in words] + [(None,)], "word string")
+    for r in bpe.fold_merges(rows, bpe.vocabulary()).collect():
+        if r.word is not None:
+            assert r.ids == [ranks[p] for p in bpe.merge(r.word.encode(), ranks)] and bytes(r.decoded) == r.word.encode()
+        else:
+            assert r.ids is None
+    known = bpe.folded_words(docs, bpe.vocabulary())
+    assert set(known) == set(counted)
+    one = bpe.Encoder(bpe.vocabulary(), known | {" two": ("1,2,3", b"?")})  # what the fold gave is what comes out
+    assert one.text("one two")[0] == 4
 
 
 def test_packing(docs, none):
