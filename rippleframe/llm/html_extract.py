@@ -1,90 +1,126 @@
-"""Main text of pages by statistics of tag paths, beside inferred wrappers (union-free regular expressions).
-
-Pages of a host are reduced to streams of block tags and text slots, in which adjacent repeats are
-folded into repeated groups. Distinct streams of a host are aligned one after another: what both have
-stays, what one lacks becomes an optional group. The result is the host's wrapper; it doesn't decide what is kept. A page's text slots
-(paths of block tags) hold main text when they lie in the page's article and in no menu, header, footer,
-sidebar, notice, advert, form or comment part. Pages without an article element are parted into layouts
-by the part that holds most of their free text, and slots carry statistics over all pages of a host's
-layout: its article is the smallest part that holds most of the text that is neither of those, nor
-links, nor the same on all pages of the layout or host.
-
-Streams and slots are added up before they meet: within a batch, then by host. The wrappers of a host
-are built from the distinct streams in up to SALTS parts first, so that no task sees all pages.
+"""Main text of pages by wrappers: union-free regular expressions that are inferred from the pages of each host.
+
+A page is a tree of block elements with text slots between them; inline elements are part of the text. Adjacent
+groups of siblings with the same labels (tag and classes) are folded into one repeated group. The trees of a
+host are aligned one after another, level by level: siblings with the same label stay one part of the wrapper,
+what one side lacks becomes an optional part in its place. So a part of the wrapper is a position that the
+host's pages share, repeated or optional or both, and there are no alternatives.
+
+Every page is matched against its host's wrapper, which gives each text its slot. Over the host's pages a slot
+is template text where it says the same on all of them, of three at least, while others vary; it is a list of links
+where half of its characters are links. Main text are the slots that are neither, nor lie in a menu, header,
+footer, sidebar, notice, advert, form or comment part; on a page with an article element only those within it,
+and there lists of links too. A header within an article is the article's own and stays.
+Texts whose part the wrapper lacks (it holds MOST_PARTS parts, the rarest optional ones go first) are kept unless they
+lie in a part of that kind.
+
+Trees and slots are added up before they meet: within a batch, then by host. The wrapper of a
+host is built from its distinct trees in up to SALTS parts first, so that no task sees all pages, and
+slots are counted by batches too. Pages meet their wrapper by a join whose hot hosts are dealt over salts.
 
 A null html is an empty page. A null url belongs to the host "". Repeated rows are extracted row by
-row. Columns other than the id, url and html are ignored; an empty table gives an empty result.
+row. Columns other than the id, url and html are ignored; an empty table gives an empty result. Time is linear
+in a page's length; elements nested deeper than DEPTH lie beside each other.
 """
 
 from __future__ import annotations
 
 import difflib
-import functools
 import html as entities
 import json
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, salted_join, table
 
 SALTS = 16
-#: Longest repeated group, in parts.
-PERIOD = 12
-#: Share of the host's free text that the article holds where no element names it.
-MOST = 0.6
+#: Longest repeated group, in parts, and deepest element.
+PERIOD, DEPTH = 6, 120
+#: Parts of a wrapper.
+MOST_PARTS = 20_000
+#: Bytes of wrappers that are broadcast.
+BROADCAST = 32 << 20
+#: Trees whose match a worker remembers.
+REMEMBERED = 50_000
 
 #: Elements of HTML by their role here.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe svg math canvas object audio video textarea title".split())
 APART = frozenset("nav header footer aside form button select dialog menu head".split())
-#: Words of class, id or role that name what isn't the article.
+#: Words of class, id or role that name what isn't the article, alone or with words of place and shape.
 APART_WORDS = frozenset("ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header hidden masthead menu modal nav navbar navigation newsletter notice notification pagination popup promo promotion recommended related replies respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget alert complementary contentinfo search".split())
+NEUTRAL_WORDS = frozenset("area bar block body bottom box column container content first footer form group header inner item items last left link links list main menu nav outer overlay panel right row section site slot text thread title top unit widget wrap wrapper".split())
 #: A start tag of the first kind ends an open element of the second.
 _BLOCKS = "address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
 CLOSES = {t: ("p",) for t in _BLOCKS} | {"li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "tr": ("tr", "td", "th", "p"), "td": ("td", "th", "p"), "th": ("td", "th", "p"), "option": ("option",)}
 #: Elements that an implied end doesn't cross.
 SCOPE = frozenset("ul ol dl table article section div main body nav aside header footer form td th blockquote figure".split())
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
-_ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
-_WORD = re.compile(r"[a-z]+")
+# A quote counts only where a value begins. Nothing is tried twice, so a tag without an end costs one pass.
+_TAG = re.compile(r"""<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*+)(?P<attrs>(?:[\s/]++|[^\s=/>]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+))?+|=)*+)>""")
+_ATTR = re.compile(r"""(?:^|[\s/"'])(class|id|role|hidden|aria-hidden|style)(?:\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s>]+))|(?=[\s/]|$))""", re.I)
+_WORDS = re.compile(r"[a-z]+")
+
+
+def is_apart_name(name: str) -> bool:
+    """Whether a class, id or role names a part beside the article: social, ad-slot, sidebar_left, not social-life."""
+    words = _WORDS.findall(name.lower())
+    return any(w in APART_WORDS for w in words) and all(w in APART_WORDS or w in NEUTRAL_WORDS for w in words)
 
 
+@lru_cache(20_000)
 def label_of(tag: str, attrs: str) -> tuple[str, bool]:
-    """The tag with its class words, and whether it stands apart from the article."""
-    apart = tag in APART
-    if not attrs or "=" not in attrs and "hidden" not in attrs:
-        return tag, apart
-    words: list[str] = []
+    """The tag with its classes, "!" in front where it stands apart from the article; and that again."""
+    if "=" not in attrs and "hidden" not in attrs:
+        return ("!" + tag if tag in APART else tag), tag in APART
+    apart, classes = tag in APART, []
     for name, *values in _ATTR.findall(attrs):
-        value = "".join(values).lower()
-        if name.lower() == "style":
+        name, value = name.lower(), "".join(values).lower()
+        if name == "style":
             apart |= "display:none" in value.replace(" ", "")
-        elif name.lower() == "aria-hidden":
+        elif name == "aria-hidden":
             apart |= value == "true"
-        elif name.lower() == "hidden":
+        elif name == "hidden":
             apart = True
         else:
-            words += _WORD.findall(value)
-    if tag not in ("html", "body", "article", "main"):
-        apart |= not APART_WORDS.isdisjoint(words)
-    return ".".join([tag, *dict.fromkeys(words)][:4]), apart
+            names = value.split()
+            if tag not in ("html", "body", "article", "main"):
+                apart |= any(map(is_apart_name, names))
+            if name == "class":
+                classes += [re.sub("[0-9]+", "", n) for n in names]
+    return ("!" if apart else "") + ".".join([tag, *dict.fromkeys(classes)]), apart
+
+
+class Part:
+    """An element, or a text slot ("#"), of a page or a wrapper."""
+
+    __slots__ = ("label", "kids", "optional", "repeated", "into", "at", "pages")
+
+    def __init__(self, label: str):
+        self.label, self.kids, self.optional, self.repeated, self.into, self.at, self.pages = label, [], False, False, None, -1, 1
+
+    def end(self) -> Part:
+        p = self
+        while p.into is not None:
+            p = p.into
+        return p
 
 
 class Page:
-    """Block tags and text slots in page order."""
+    """The tree of a page and its texts, (slot, text, characters in links) in page order."""
 
     def __init__(self, source: str):
-        self.stream: list[str] = []  # labels, "/" for an end, "#" for text
-        self.slots: list[tuple[str, str, bool, int]] = []  # path, text, apart, characters in links
-        stack: list[tuple[str, str, bool]] = []
+        self.root = Part("")
+        self.texts: list[tuple[Part, str, int]] = []
+        stack: list[tuple[str, Part]] = []
         self._text: list[str] = []
         self._links = 0
         inline: list[tuple[str, bool]] = []
@@ -94,8 +130,9 @@ class Page:
             if self._text:
                 text = " ".join("".join(self._text).split())
                 if text:
-                    self.stream.append("#")
-                    self.slots.append(("/".join(s[1] for s in stack), text, any(s[2] for s in stack), min(self._links, len(text))))
+                    slot = Part("#")
+                    (stack[-1][1] if stack else self.root).kids.append(slot)
+                    self.texts.append((slot, text, min(self._links, len(text))))
                 self._text, self._links = [], 0
 
         def add(raw: str) -> None:
@@ -108,21 +145,36 @@ class Page:
         def pop(n: int) -> None:
             flush()
             inline.clear()
-            while len(stack) > n:
-                stack.pop()
-                self.stream.append("/")
+            del stack[n:]
 
         while at < end:
-            m = _TOKEN.search(source, at)
-            if not m:
+            begin = source.find("<", at)
+            if begin < 0:
                 add(source[at:])
                 break
-            add(source[at : m.start()])
-            at = m.end()
-            if m["cdata"]:
-                self._text.append(m["cdata"])
-            if not m["tag"]:
+            add(source[at:begin])
+            if source.startswith("<!--", begin):
+                close = source.find("-->", begin + 4)
+                at = close + 3 if close >= 0 else end
+                continue
+            if source.startswith("<![CDATA[", begin):
+                close = source.find("]]>", begin)
+                self._text.append(source[begin + 9 : close if close >= 0 else end])
+                at = close + 3 if close >= 0 else end
+                continue
+            after = source[begin + 1 : begin + 3]
+            if after[:1] in ("!", "?"):
+                close = source.find(">", begin)
+                at = close + 1 if close >= 0 else end
+                continue
+            if not (after[:1].isascii() and after[:1].isalpha() or after[:1] == "/" and after[1:].isascii() and after[1:].isalpha()):
+                add("<")
+                at = begin + 1
                 continue
+            m = _TAG.match(source, begin)
+            if not m:
+                break  # the page ends within a tag
+            at = m.end()
             tag = m["tag"].lower()
             if m["end"]:
                 if tag in INLINE:
@@ -141,7 +193,7 @@ class Page:
                     flush()
             elif tag in RAW:
                 if not m["attrs"].rstrip().endswith("/") or tag in ("script", "style", "title", "textarea"):
-                    close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(source, at)
+                    close = re.compile(rf"</{re.escape(tag)}(?![^\s/>])[^>]*+>?", re.I).search(source, at)
                     at = close.end() if close else end
             elif tag in VOID:
                 if tag == "br":
@@ -150,6 +202,8 @@ class Page:
                     flush()
             elif tag in INLINE:
                 inline.append((tag, label_of(tag, m["attrs"])[1]))
+                if len(inline) > DEPTH:
+                    del inline[0]
             else:
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] in CLOSES.get(tag, ()):
@@ -159,75 +213,207 @@ class Page:
                         break
                 flush()
                 inline.clear()
-                label, apart = label_of(tag, m["attrs"])
-                stack.append((tag, label, apart))
-                self.stream.append(label)
-        pop(0)
-
-
-def _closed(group: list) -> bool:
-    """Whether every element that a group begins also ends in it."""
-    depth = 0
-    for part in group:
-        depth += 0 if isinstance(part, list) or part == "#" else -1 if part == "/" else 1
-        if depth < 0:
-            return False
-    return depth == 0
+                if len(stack) >= DEPTH:
+                    del stack[DEPTH - 1 :]
+                part = Part(label_of(tag, m["attrs"])[0])
+                (stack[-1][1] if stack else self.root).kids.append(part)
+                stack.append((tag, part))
+        flush()
+        fold(self.root)
+
+    def tree(self) -> str:
+        """The folded tree as JSON; numbers its parts."""
+        return dump(self.root)
+
+
+def merge(one: Part, two: Part) -> None:
+    """Aligns two into one: parts of both stay, others become optional in their places."""
+    two.into = one
+    one.pages += two.pages
+    one.optional |= two.optional
+    one.repeated |= two.repeated
+    a, b = one.kids, two.kids
+    if len(a) == len(b) and all(x.label == y.label for x, y in zip(a, b, strict=True)):
+        for x, y in zip(a, b, strict=True):
+            merge(x, y)
+        return
+    out: list[Part] = []
+    for what, a0, a1, b0, b1 in difflib.SequenceMatcher(None, [x.label for x in a], [y.label for y in b], autojunk=False).get_opcodes():
+        if what == "equal":
+            for x, y in zip(a[a0:a1], b[b0:b1], strict=True):
+                merge(x, y)
+                out.append(x)
+        else:
+            for x in a[a0:a1] + b[b0:b1]:
+                x.optional = True
+                out.append(x)
+    one.kids = out
 
 
-def fold(parts: list) -> list:
-    """Adjacent equal groups of whole elements become one repeated group, ["+", ...]; short groups first."""
+def fold(part: Part) -> None:
+    """Adjacent groups of parts with the same labels become one repeated group; short groups first."""
+    for kid in part.kids:
+        fold(kid)
+    kids = part.kids
     for period in range(1, PERIOD + 1):
-        out, i, n = [], 0, len(parts)
-        while i < n:
-            group, j = parts[i : i + period], i + period
-            if parts[j : j + period] == group and _closed(group):
-                while parts[j : j + period] == group:
+        if len(kids) < 2 * period:
+            break
+        labels = [k.label for k in kids]
+        if period > 1 and len(set(labels)) == len(labels):
+            break
+        out, i = [], 0
+        while i < len(kids):
+            j, group = i + period, kids[i : i + period]
+            if labels[i:j] == labels[j : j + period]:
+                while labels[i : i + period] == labels[j : j + period]:
+                    for x, y in zip(group, kids[j : j + period], strict=True):
+                        pages = x.pages
+                        merge(x, y)
+                        x.repeated, x.pages = True, pages
                     j += period
-                out.append(group[0] if period == 1 and isinstance(group[0], list) else ["+", *group])
+                out += group
                 i = j
             else:
-                out.append(parts[i])
+                out.append(kids[i])
                 i += 1
-        parts = out
-    return parts
+        kids = out
+    part.kids = kids
 
 
-def _plain(part: object) -> object:
-    """A part without its options and repeats, for comparison: x, x+ and x? align."""
-    if isinstance(part, list):
-        inner = [p for x in part[1:] for p in ([_plain(x)] if not isinstance(_plain(x), tuple) else _plain(x))]
-        return tuple(inner) if len(inner) != 1 else inner[0]
-    return part
+def dump(root: Part) -> str:
+    """[label, marks, pages, parts] from the root on; numbers the parts in this order."""
+    count = 0
 
+    def one(part: Part) -> list:
+        nonlocal count
+        part.at, count = count, count + 1
+        return [part.label, ("?" if part.optional else "") + ("+" if part.repeated else ""), part.pages, [one(k) for k in part.kids]]
 
-def align(one: list, two: list) -> list:
-    """The smallest wrapper here that covers both: common parts stay, others become optional groups."""
-    a, b = [_plain(x) for x in one], [_plain(x) for x in two]
-    out: list = []
-    for what, a0, a1, b0, b1 in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
-        if what == "equal":
-            for x, y in zip(one[a0:a1], two[b0:b1], strict=True):
-                marks = [p[0] for p in (x, y) if isinstance(p, list)]
-                if x == y or not marks:
-                    out.append(x)
-                elif "?" in marks:
-                    body = next(p for p in (x, y) if isinstance(p, list))
-                    out.append(body if body[0] == "?" else ["?", body])
-                else:
-                    out.append(next(p for p in (x, y) if isinstance(p, list)))
+    return json.dumps(one(root), separators=(",", ":"))
+
+
+def load(tree: str) -> Part:
+    count = 0
+
+    def one(given: list) -> Part:
+        nonlocal count
+        part = Part(given[0])
+        part.optional, part.repeated, part.pages, part.at, count = "?" in given[1], "+" in given[1], given[2], count, count + 1
+        part.kids = [one(k) for k in given[3]]
+        return part
+
+    return one(json.loads(tree))
+
+
+def parts_of(root: Part) -> list[Part]:
+    out = [root]
+    for p in out:  # grows as it goes
+        out += p.kids
+    return out
+
+
+def prune(root: Part, most: int = MOST_PARTS) -> Part:
+    """Takes the rarest optional parts away until few enough are left."""
+    every = parts_of(root)
+    if len(every) > most:
+        counts = sorted((p.pages for p in every), reverse=True)
+        least = counts[most]
+        for p in every:
+            p.kids = [k for k in p.kids if not (k.optional and k.pages <= least)]
+    return root
+
+
+def wrapper_of(trees: list[tuple[str, int]]) -> str:
+    """The wrapper of (tree, pages), the most frequent first."""
+    made: Part | None = None
+    for k, (tree, pages) in enumerate(sorted(trees, key=lambda t: (-t[1], t[0]))):
+        new = load(tree)
+        if pages > 1:
+            for p in parts_of(new):
+                p.pages *= pages
+        if made is None:
+            made = new
         else:
-            for gone in (one[a0:a1], two[b0:b1]):
-                if gone:
-                    out.append(gone[0] if len(gone) == 1 and isinstance(gone[0], list) and gone[0][0] == "?" else ["?", *gone])
+            merge(made, new)
+            if k % 64 == 0:
+                prune(made)
+    return dump(prune(made)) if made else dump(Part(""))
+
+
+def match(wrapper: Part, page: Part) -> dict[int, int]:
+    """The wrapper's part of each part of a page; what it lacks is missing."""
+    out, todo = {page.at: wrapper.at}, [(wrapper, page)]
+    while todo:
+        w, p = todo.pop()
+        pairs: list[tuple[Part, Part]] = []
+        if len(w.kids) == len(p.kids) and all(x.label == y.label for x, y in zip(w.kids, p.kids, strict=True)):
+            pairs = list(zip(w.kids, p.kids, strict=True))
+        elif p.kids:
+            blocks = difflib.SequenceMatcher(None, [x.label for x in w.kids], [y.label for y in p.kids], autojunk=False).get_matching_blocks()
+            pairs = [(w.kids[i + k], p.kids[j + k]) for i, j, n in blocks for k in range(n)]
+            if len(pairs) < len(p.kids):
+                got, first = {id(y) for _, y in pairs}, {}
+                for x in w.kids:
+                    first.setdefault(x.label, x)
+                pairs += [(first[y.label], y) for y in p.kids if id(y) not in got and y.label in first]
+        for x, y in pairs:
+            out[y.at] = x.at
+            todo.append((x, y))
+    return out
+
+
+def places(root: Part) -> dict[int, tuple[bool, bool]]:
+    """Of each text slot: whether it stands apart, and whether it lies in an article."""
+    out, todo = {}, [(root, False, False)]
+    while todo:
+        part, apart, article = todo.pop()
+        bare = part.label.lstrip("!")
+        names = bare.split(".")
+        if part.label.startswith("!") and not (article and bare == "header"):
+            apart = True
+        if names[0] in ("article", "main") or names[0] in ("div", "section") and {"article", "post"} & set(names[1:]):
+            article = True
+        if part.label == "#":
+            out[part.at] = (apart, article)
+        todo += [(k, apart, article) for k in part.kids]
+    return out
+
+
+def choose_slots(slots: list[tuple[int, int, int, int, int, int]], where: dict[int, tuple[bool, bool]]) -> list[int]:
+    """Main slots of a host, of (slot, pages, chars, links, low, high): low and high are digests of the slot's text over pages."""
+    varies = any(s[4] != s[5] for s in slots)
+    out = []
+    for at, pages, chars, links, low, high in slots:
+        apart, article = where.get(at, (True, False))
+        template = varies and pages >= 3 and low == high
+        if not apart and not template and (article or links * 2 < chars):
+            out.append(at)
     return out
 
 
-def wrapper_of(streams: list[list]) -> list:
-    made: list | None = None
-    for s in streams:
-        made = s if made is None else made if made == s else align(made, s)
-    return made or []
+class Wrapper:
+    """A host's wrapper in use: matches pages, remembering trees."""
+
+    def __init__(self, tree: str):
+        self.root = load(tree)
+        self.where = places(self.root)
+        self.known: dict[str, tuple[dict[int, int], dict[int, tuple[bool, bool]]]] = {}
+
+    def slots(self, page: Page) -> list[tuple[int | None, tuple[bool, bool], str, int]]:
+        """(the wrapper's slot, where it lies, text, characters in links) of each text."""
+        tree = page.tree()
+        if tree not in self.known:
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            self.known[tree] = match(self.root, page.root), places(page.root)
+        to, own = self.known[tree]
+        return [(to.get(at := slot.end().at), own[at], text, links) for slot, text, links in page.texts]
+
+
+def main_text(wrapper: Wrapper, chosen: frozenset[int], page: Page) -> str:
+    found = wrapper.slots(page)
+    article = any(inside and not apart for _, (apart, inside), _, _ in found)
+    return "\n".join(t for at, (apart, inside), t, _ in found if not apart and (inside or not article) and (at is None or at in chosen))
 
 
 def host_of(url: str | None) -> str:
@@ -237,147 +423,103 @@ def host_of(url: str | None) -> str:
     return host.translate({c: c + 32 for c in range(65, 91)})
 
 
-_ROWS = "host string, stream string, layout string, path string, apart boolean, pages long, chars long, links long, low long, high long"
+def host_column(url: Column) -> Column:
+    rest = F.when(F.instr(url, "://") > 0, F.regexp_extract(url, r"://([^/?#]*)", 1)).otherwise(F.lit(""))
+    return F.translate(F.coalesce(rest, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+_TREES = "host string, tree string, pages long, slots array<struct<at:int,pages:long,chars:long,links:long,low:long,high:long>>"
 
 
 def _observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of streams and of slots, by host, added up within a batch."""
+    """Trees of a host with what their slots held, added up within a batch."""
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.list_(pa.struct([("at", pa.int32()), *[(c, pa.int64()) for c in ("pages", "chars", "links", "low", "high")]]))]
     for b in batches:
-        streams: dict[tuple, int] = {}
-        layouts: dict[tuple, int] = {}
-        slots: dict[tuple, list] = {}
-        for url, source in zip(b.column("url").to_pylist(), b.column("html").to_pylist(), strict=True):
-            host, page = host_of(url), Page(source)
-            key = (host, json.dumps(fold(page.stream)))
-            streams[key] = streams.get(key, 0) + 1
-            if (layout := layout_of(page)) is None:
-                continue
-            layouts[host, layout] = layouts.get((host, layout), 0) + 1
-            mine: dict[tuple, list] = {}
-            for path, text, apart, links in page.slots:
-                got = mine.setdefault((host, layout, path, apart), [0, 0, 0])
-                got[0] += len(text)
-                got[1] += links
-                got[2] = zlib.crc32(text.encode("utf-8", "replace"), got[2])
-            for k, (chars, links, digest) in mine.items():
-                if s := slots.get(k):
-                    slots[k] = [s[0] + 1, s[1] + chars, s[2] + links, min(s[3], digest), max(s[4], digest)]
-                else:
-                    slots[k] = [1, chars, links, digest, digest]
-        rows = [(h, s, None, None, None, n, 0, 0, 0, 0) for (h, s), n in streams.items()]
-        rows += [(h, None, w, None, None, n, 0, 0, 0, 0) for (h, w), n in layouts.items()]
-        rows += [(h, None, w, p, a, *v) for (h, w, p, a), v in slots.items()]
-        kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.bool_(), *[pa.int64()] * 5]
-        names = [c.split()[0] for c in _ROWS.split(", ")]
+        seen: dict[tuple[str, str], list] = {}
+        for host, source in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True):
+            page = Page(source)
+            got = seen.setdefault((host, page.tree()), [0, {}])
+            got[0] += 1
+            mine: dict[int, list[int]] = {}
+            for slot, text, links in page.texts:
+                one = mine.setdefault(slot.end().at, [0, 0, 0])
+                one[0] += len(text)
+                one[1] += links
+                one[2] = zlib.crc32(text.encode("utf-8", "replace"), one[2])
+            for at, (chars, links, digest) in mine.items():
+                s = got[1].get(at)
+                got[1][at] = [s[0] + 1, s[1] + chars, s[2] + links, min(s[3], digest), max(s[4], digest)] if s else [1, chars, links, digest, digest]
+        names = ("at", "pages", "chars", "links", "low", "high")
+        rows = [(h, t, n, [dict(zip(names, (at, *v), strict=True)) for at, v in slots.items()]) for (h, t), (n, slots) in seen.items()]
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-
-
-def _join_streams(rows: pd.DataFrame) -> pd.DataFrame:
-    streams = rows[rows["stream"].notna()].sort_values(["pages", "stream"], ascending=[False, True])
-    out = rows[rows["stream"].isna()]
-    if len(streams):
-        made = streams.iloc[[0]].assign(stream=json.dumps(wrapper_of([json.loads(s) for s in streams["stream"]])), pages=int(streams["pages"].sum()))
-        out = pd.concat([out, made])
-    return out.drop(columns="salt", errors="ignore")
-
-
-@functools.lru_cache(100_000)
-def _article(path: str) -> int:
-    """How deep in the path the article begins; -1 without an article."""
-    labels = [x.split(".") for x in path.split("/")]
-    for names in (("article",), ("main",)):
-        for i, x in enumerate(labels):
-            if x[0] in names or x[0] in ("div", "section") and {"article", "post"} & set(x[1:3]) and names == ("article",):
-                return i
-    return -1
-
-
-def _smallest(parts: list[tuple[str, int]]) -> tuple:
-    """The deepest part, as labels, that holds MOST of the characters, of (path, characters)."""
-    total = sum(n for _, n in parts)
-    under: dict[tuple, int] = {}
-    for path, n in parts:
-        labels = tuple(path.split("/"))
-        for i in range(1, len(labels) + 1):
-            under[labels[:i]] = under.get(labels[:i], 0) + n
-    return max((p for p, n in under.items() if n >= MOST * total and p[-1].split(".")[0] not in ("p", "li", "h1", "h2", "h3")), key=lambda p: (len(p), under[p]), default=())
-
-
-def layout_of(page: Page) -> str | None:
-    """The path of the part with most of the page's free text that isn't links; None for a page with an article."""
-    free = [s for s in page.slots if not s[2]]
-    if any(_article(s[0]) >= 0 for s in free):
-        return None
-    return "/".join(_smallest([(s[0], len(s[1])) for s in free if s[3] * 2 < len(s[1])]))
-
-
-def choose_slots(slots: list[tuple], pages: int, everywhere: frozenset[str] = frozenset()) -> list[str]:
-    """Paths of a layout's slots that hold main text, of (path, apart, pages, chars, links, low, high).
-
-    everywhere: paths that hold the same on all pages of the host.
-    """
-    free = [s for s in slots if not s[1]]
-    same = lambda s: s[0] in everywhere or pages >= 3 and s[2] == pages and s[5] == s[6]
-    told = [s for s in free if s[4] * 2 < s[3] and not same(s)] or free
-    best = _smallest([(s[0], s[3]) for s in told])
-    return [s[0] for s in told if tuple(s[0].split("/"))[: len(best)] == best]
-
-
-def _finish(rows: pd.DataFrame) -> pd.DataFrame:
-    made = _join_streams(rows)
-    wrapper = made[made["stream"].notna()].iloc[0]
-    part = made[made["stream"].isna()]
-    counts = {r.layout: int(r.pages) for r in part[part["path"].isna()].itertuples(index=False)}
-    layouts: dict[str, list[tuple]] = {}
-    paths: dict[str, list[int]] = {}
-    for r in part[part["path"].notna()].itertuples(index=False):
-        layouts.setdefault(r.layout, []).append((r.path, r.apart, r.pages, r.chars, r.links, r.low, r.high))
-        if not r.apart:
-            n, low, high = paths.get(r.path, (0, r.low, r.high))
-            paths[r.path] = [n + r.pages, min(low, r.low), max(high, r.high)]
-    total = sum(counts.values())
-    everywhere = frozenset(p for p, (n, low, high) in paths.items() if n == total >= 3 and low == high)
-    chosen = {w: sorted(choose_slots(s, counts[w], everywhere)) for w, s in sorted(layouts.items())}
-    return pd.DataFrame({"host": [wrapper["host"]], "wrapper": [wrapper["stream"]], "slots": [json.dumps(chosen)]})
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["host", "tree", "pages", "slots"])
 
 
-def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """host, wrapper (JSON: labels, "/" an end, "#" a slot, ["+", ...] repeated, ["?", ...] optional), slots (JSON: layout to paths)."""
-    rows = pages.select(F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-    seen = rows.mapInArrow(_observe, _ROWS).groupBy("host", "stream", "layout", "path", "apart").agg(
-        F.sum("pages").alias("pages"), F.sum("chars").alias("chars"), F.sum("links").alias("links"), F.min("low").alias("low"), F.max("high").alias("high")
-    )
-    salted = seen.withColumn("salt", F.pmod(F.xxhash64("stream", "layout", "path"), F.lit(SALTS)))
-    some = salted.groupBy("host", "salt").applyInPandas(_join_streams, _ROWS)
-    return some.groupBy("host").applyInPandas(_finish, "host string, wrapper string, slots string")
+def _join_trees(rows: pd.DataFrame) -> pd.DataFrame:
+    made = wrapper_of(list(zip(rows["tree"], map(int, rows["pages"]), strict=True)))
+    return pd.DataFrame({"host": [rows["host"].iloc[0]], "tree": [made], "pages": [1]})
 
 
-def main_text(page: Page, slots: dict[str, set[str]]) -> str:
-    layout = layout_of(page)
-    mine = slots.get(layout, set())
-    chosen = [text for path, text, apart, _ in page.slots if not apart and (_article(path) >= 0 if layout is None else path in mine)]
-    return "\n".join(chosen)
+def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Trees' slots as slots of their host's wrapper."""
+    known: dict[str, Wrapper] = {}
+    names = ("host", "at", "pages", "chars", "links", "low", "high")
+    for b in batches:
+        total: dict[tuple[str, int], list[int]] = {}
+        for host, tree, slots, wrapper in zip(*(b.column(c).to_pylist() for c in ("host", "tree", "slots", "wrapper")), strict=True):
+            if wrapper not in known:
+                if len(known) >= 1000:
+                    known.clear()
+                known[wrapper] = Wrapper(wrapper)
+            to = match(known[wrapper].root, load(tree))
+            for s in slots:
+                if (at := to.get(s["at"])) is not None:
+                    t = total.get((host, at))
+                    new = [s["pages"], s["chars"], s["links"], s["low"], s["high"]]
+                    total[host, at] = [t[0] + new[0], t[1] + new[1], t[2] + new[2], min(t[3], new[3]), max(t[4], new[4])] if t else new
+        rows = [(h, at, *v) for (h, at), v in total.items()]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), [pa.string(), *[pa.int64()] * 6], strict=True)], names)
+
+
+def _choose(rows: pd.DataFrame) -> pd.DataFrame:
+    slots = [tuple(int(v) for v in r) for r in rows[["at", "pages", "chars", "links", "low", "high"]].itertuples(index=False)]
+    chosen = choose_slots(slots, places(load(rows["wrapper"].iloc[0])))
+    return pd.DataFrame({"host": [rows["host"].iloc[0]], "slots": [sorted(chosen)]})
+
+
+def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """host, wrapper (JSON: label, "?" optional and "+" repeated, pages, parts; "#" is a text slot), slots (numbers of the main ones)."""
+    rows = pages.select(host_column(F.col(url_col)).alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
+    seen = cut(rows.mapInArrow(_observe, _TREES), "trees")
+    distinct = seen.groupBy("host", "tree").agg(F.sum("pages").alias("pages"))
+    some = distinct.withColumn("salt", F.pmod(F.xxhash64("tree"), F.lit(SALTS))).groupBy("host", "salt").applyInPandas(_join_trees, "host string, tree string, pages long")
+    wrappers = cut(some.groupBy("host").applyInPandas(_join_trees, "host string, tree string, pages long").select("host", F.col("tree").alias("wrapper")), "wrappers")
+    placed = salted_join(seen, wrappers, "host", "inner").mapInArrow(_place, "host string, at long, pages long, chars long, links long, low long, high long")
+    slots = placed.groupBy("host", "at").agg(*[F.sum(c).alias(c) for c in ("pages", "chars", "links")], F.min("low").alias("low"), F.max("high").alias("high"))
+    chosen = slots.join(wrappers, "host").groupBy("host").applyInPandas(_choose, "host string, slots array<int>")
+    return wrappers.join(chosen, "host", "left").select("host", "wrapper", F.coalesce("slots", F.array().cast("array<int>")).alias("slots"))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars."""
-    wrappers = cut(infer_wrappers(pages, url_col, html_col), "wrappers")
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-    rest = F.when(F.instr("url", "://") > 0, F.regexp_extract("url", r"://([^/?#]*)", 1)).otherwise(F.lit(""))
-    host = F.translate(F.coalesce(rest, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    rows = rows.withColumn("host", host).join(wrappers.select("host", "slots"), "host", "left").select("page_id", "url", "html", "slots")
+    wrappers = cut(infer_wrappers(pages, url_col, html_col), "host-wrappers")
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"), host_column(F.col(url_col)).alias("host"))
+    size = wrappers.agg(F.coalesce(F.sum(F.length("wrapper") + 8 * F.size("slots")), F.lit(0))).first()[0]
+    # Few hosts' wrappers go to every task; many are joined, the rows of hot hosts being dealt out.
+    rows = rows.join(F.broadcast(wrappers), "host", "left") if size <= BROADCAST else salted_join(rows, wrappers, "host")
+    rows = rows.select("page_id", "url", "html", "wrapper", "slots")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, dict[str, set[str]]] = {}
+        known: dict[str, tuple[Wrapper, frozenset[int]]] = {}
         for b in batches:
             texts = []
-            for source, slots in zip(b.column("html").to_pylist(), b.column("slots").to_pylist(), strict=True):
-                if slots not in known:
-                    if len(known) > 10_000:
+            for source, wrapper, slots in zip(*(b.column(c).to_pylist() for c in ("html", "wrapper", "slots")), strict=True):
+                if wrapper not in known:
+                    if len(known) >= 1000:
                         known.clear()
-                    known[slots] = {w: set(p) for w, p in json.loads(slots or "{}").items()}
-                texts.append(main_text(Page(source), known[slots]))
+                    known[wrapper] = Wrapper(wrapper), frozenset(slots)
+                texts.append(main_text(*known[wrapper], Page(source)))
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return rows.mapInArrow(run, f"page_id {dict(rows.dtypes)['page_id']}, url string, text string, n_chars long")

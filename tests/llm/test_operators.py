@@ -518,11 +518,68 @@ def test_html(spark):
     assert {r.page_id: r.text for r in got}[3] == "" and {r.page_id: r.text for r in got}[4] == "just < text"
 
 
-def test_wrappers_align():
-    a, b = ["p", "#", "/", "ul", "#", "/"], ["p", "#", "/", "p", "#", "/"]
-    assert html_extract.fold(b) == [["+", "p", "#", "/"]]
-    made = html_extract.wrapper_of([["h1", "#", "/", *a], ["h1", "#", "/"]])
-    assert made == ["h1", "#", "/", ["?", *a]] and json.dumps(made)
+def shape(tree):
+    """A wrapper in short: label, marks, parts."""
+    label, marks, _, parts = tree
+    return label + marks + (f"({' '.join(map(shape, parts))})" if parts else "")
+
+
+def test_wrappers_are_inferred():
+    """Repeats fold, what pages share stays, what one lacks becomes optional: no alternatives."""
+    tree = lambda source: (html_extract.Page(source).tree(), 1)
+    one = tree("<h1>a</h1><ul><li>b<li>c<li>d</ul><dl><dt>e<dd>f<dt>g<dd>h</dl>")
+    assert shape(json.loads(one[0])) == "(h1(#) ul(li+(#)) dl(dt+(#) dd+(#)))"
+    two = tree("<h1>a</h1><div class='n1 box'>x</div><ul><li>b</ul>")
+    assert shape(json.loads(html_extract.wrapper_of([one, two]))) == "(h1(#) div.n.box?(#) ul(li+(#)) dl?(dt+(#) dd+(#)))"
+    assert html_extract.wrapper_of([one, two, one]) == html_extract.wrapper_of([two, (one[0], 2)])
+    wrapper = html_extract.load(html_extract.wrapper_of([one, two]))
+    for t, _ in (one, two):  # each page is one of the expression's words
+        to = html_extract.match(wrapper, html_extract.load(t))
+        assert len(to) == len(html_extract.parts_of(html_extract.load(t))) and len(set(to.values())) == len(to)
+
+
+def test_wrappers_decide(spark):
+    """What repeats over a host's pages goes, by its place in the wrapper, though path and classes are those of the text."""
+    rows = [(i, "http://h.x/", f"<div><p>The paper of record</p><h2>news {i}</h2><p>story number {i} and more</p><table><tr><td>All rights reserved</table></div>") for i in range(5)]
+    rows += [(10 + i, "http://links.x/", f"<div><a href=x>one {i}</a></div><div><p>text {i}</p></div>") for i in range(3)]
+    rows += [(20 + i, "http://same.x/", "<div><p>the same on all</p></div>") for i in range(3)]
+    frame = spark.createDataFrame([(*r, "w", "s") for r in rows], "page_id long, url string, html string, wrapper string, slots string").repartition(3)
+    got = {r.page_id: r.text for r in html_extract.extract(frame).collect()}
+    assert all(got[i] == f"news {i}\nstory number {i} and more" for i in range(5))
+    assert all(got[10 + i] == f"text {i}" for i in range(3)) and got[20] == "the same on all"
+    assert html_extract.extract(frame.limit(0)).count() == 0
+    hosts = {r.host: r for r in html_extract.infer_wrappers(frame).collect()}
+    assert set(hosts) == {"h.x", "links.x", "same.x"} and len(hosts["h.x"].slots) == 2
+
+
+def test_html_is_read_as_it_stands(spark):
+    cases = {
+        "<p>a<i title=o'k>b</i> c</p>": "ab c", "<article><p class='social-life'>x</p><section class='related-work'><p>y</p></section><div class='ad-slot'>z</div><div class='social'>w</div></article>": "x\ny",
+        "<article><header><h1>t</h1></header><p>x</p><footer>f</footer></article><header>site</header>": "t\nx", "<p>a &lt;b&gt; &nbsp; &eacute;<!-- no <p> --> c</p>": "a <b> é c",
+        "<p>1 < 2 and a<b": "1 < 2 and a", "<p>a</p><script>if (a</b) '</p>'</script><p>c": "a\nc", "<p title='x>y'>z</p>": "z", "<![CDATA[raw]]>": "raw", "<p hidden>a</p><p style='display: none'>b</p><p aria-hidden=true>c</p>d": "d",
+        "<div><textarea>a</div>": "", "<p>one<br>two\n\n three</p>": "one two three", "<form><p>x</p></form><p>y<p>z": "y\nz", "": "", "<": "<",
+    }
+    rows = [(i, f"http://h{i}.x/", t) for i, t in enumerate(cases)] + [(100, None, None), (101, None, "<p>no host</p>"), (101, None, "<p>no host</p>")]
+    got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert [r.text for r in sorted(got, key=lambda r: r.page_id) if r.page_id < 100] == list(cases.values())
+    assert sorted((r.page_id, r.text, r.n_chars) for r in got if r.page_id >= 100) == [(100, "", 0), (101, "no host", 7), (101, "no host", 7)]
+
+
+def test_hostile_pages_take_linear_time():
+    import time
+
+    begin = time.process_time()
+    for source in ("<b " * 350_000, "<b>" * 300_000, "<div>" * 200_000, "<p a=\"" * 150_000, "a='" * 300_000, "<!-- " * 200_000, "&" * 1_000_000):
+        html_extract.Page(source).tree()
+    assert time.process_time() - begin < 20
+    layouts = [(html_extract.Page("".join(f'<div class="u{"x" * k}{"y" * j}"><p>t</p></div>' for j in range(40))).tree(), 1) for k in range(200)]
+    begin = time.process_time()
+    html_extract.wrapper_of(layouts)
+    assert time.process_time() - begin < 10
+    wide = html_extract.load(html_extract.Page("".join(f"<div class={'abcdefghij'[i % 10] * (i // 10 + 1)}>t</div>" for i in range(500))).tree())
+    for p in wide.kids[1:]:
+        p.optional = True
+    assert len(html_extract.parts_of(html_extract.prune(wide, 100))) <= 101
 
 
 def test_toxicity(spark, none):
