@@ -149,7 +149,8 @@ def _prefixes(order: Order, fragments: int, threshold: int):
             entry["place"] = np.concatenate([h[1] for h in held]) * 255 // np.maximum(entry["n"], 1)
             # Within a fragment the low 40 bits name a shingle; others that share them only cost a comparison.
             entry["token"] = token.view(np.uint8).reshape(-1, 8)[:, :5]
-            part = order.fragment(token, order.level(token), fragments)
+            # A range of the order, and within it a slice by hash: hot shingles that are neighbours in the order part.
+            part = order.fragment(token, order.level(token), VERTICAL) * fragments + ((token >> np.uint64(40)) * np.uint64(fragments) >> np.uint64(24)).astype(np.int64)
             by = np.argsort(part, kind="stable")
             cuts = np.flatnonzero(np.diff(part[by])) + 1
             rows = [(int(part[o[0]]), entry[o].tobytes()) for o in np.split(by, cuts)]
@@ -276,43 +277,46 @@ def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("a", "b", "na", "nb")), pa.array(common, pa.int64())], ["a", "b", "na", "nb", "overlap"])
 
 
-def _cross(threshold: int):
-    """The pairs of a block, or of two, between different components that the filters leave."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop_duplicates("sig").sort_values(["n", "sig"])
-        sig, n, label, part = (rows[c].to_numpy(np.int64) for c in ("sig", "n", "label", "part"))
-        place = np.floor(rows["place"].to_numpy() * n + 1e-9).astype(np.int64)
-        one = (part == part[0]).all()  # a block with itself
-        found = []
-        for i in range(1, len(sig)):
-            lo = np.searchsorted(n, -(-threshold * n[i] // 100))
-            j = np.arange(lo, i)
-            j = j[(label[j] != label[i]) & (one | (part[j] != part[i])) & _fits(n[j], place[j], n[i], place[i], threshold)]
-            if len(j):
-                found.append(np.stack([np.minimum(sig[j], sig[i]), np.maximum(sig[j], sig[i])], 1))
-        got = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-        return pd.DataFrame({"a": got[:, 0], "b": got[:, 1]})
-
-    return run
-
-
 def _block_pairs(mixed: DataFrame, threshold: int) -> DataFrame:
     """Members of runs (run, sig, n, place, label), once for each pair of blocks that they are in: with pair (its name) and part.
 
-    Members are parted by size into bands of which only neighbours can hold links, and bands by hash into blocks.
+    A run of at most BLOCK members is one block. Larger ones are parted by size into bands, of which only neighbours can
+    hold links, and bands by hash into blocks.
     """
-    mixed = mixed.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / threshold)) + 1e-9).cast("long"))
-    sizes = mixed.groupBy("run", "band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    around = sizes.select("run", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band"), (F.col("band")).alias("other"), "blocks")
-    around = around.groupBy("run", "band").agg(F.collect_list(F.struct("other", "blocks")).alias("near"))
+    base = F.log(F.lit(100.0 / threshold))
+    mixed = mixed.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / base + 1e-9).cast("long"))
+    sizes = mixed.groupBy("run", "band").agg(F.count(F.lit(1)).alias("members"))
+    large = sizes.groupBy("run").agg(F.sum("members").alias("all")).where(F.col("all") > BLOCK).select("run")
+    small = mixed.join(large, "run", "left_anti").select("sig", "n", "place", "label", F.col("run").alias("pair"), F.lit(0).cast("long").alias("part"))
+    sizes = sizes.join(large, "run").select("run", "band", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
+    around = sizes.select("run", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band"), F.col("band").alias("other"), "blocks")
+    around = around.groupBy("run", "band").agg(F.collect_list(F.struct("other", "blocks")).alias("near"))  # at most three
     rows = mixed.join(around, ["run", "band"]).withColumn("mine", F.expr("filter(near, x -> x.other = band)[0].blocks"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("sig"), F.col("mine")).cast("int"))
     rows = rows.select("*", F.explode("near").alias("o")).select("*", F.explode(F.sequence(F.lit(0), F.col("o.blocks") - 1)).alias("with"))
-    # A pair of blocks is named by its lower one first.
+    # A pair of blocks is named by its lower one first; in a block with itself all have the same part.
     here, there = F.struct("band", "block"), F.struct(F.col("o.other").alias("band"), F.col("with").alias("block"))
-    pair = F.xxhash64("run", F.least(here, there)["band"], F.least(here, there)["block"], F.greatest(here, there)["band"], F.greatest(here, there)["block"])
-    return rows.select("sig", "n", "place", "label", pair.alias("pair"), F.xxhash64("band", "block").alias("part"))
+    low, high = F.least(here, there), F.greatest(here, there)
+    pair = F.xxhash64("run", low["band"], low["block"], high["band"], high["block"])
+    part = F.when((F.col("band") == F.col("o.other")) & (F.col("block") == F.col("with")), 0).when(low["band"] * 1_000_000 + low["block"] == F.col("band") * 1_000_000 + F.col("block"), 1).otherwise(2)
+    return small.unionByName(rows.select("sig", "n", "place", "label", pair.alias("pair"), part.cast("long").alias("part")))
+
+
+def _cross(members: DataFrame, threshold: int) -> DataFrame:
+    """a, b: the pairs of a block, or of two, between different components that the filters leave.
+
+    Blocks are bounded, so a key has few rows; keys are dealt over all tasks, however few bytes they are.
+    """
+    members = members.withColumn("left", F.col("n") - F.floor(F.col("place") * F.col("n") + 1e-9))
+    members = members.repartition(partitions(members.sparkSession), "pair")
+    x, y = members.alias("x"), members.alias("y")
+    v = lambda side, c: F.col(f"{side}.{c}")
+    order = F.when(v("x", "part") == 0, v("x", "sig") < v("y", "sig")).otherwise(v("x", "part") < v("y", "part"))
+    sizes = (100 * F.least(v("x", "n"), v("y", "n"))) >= (threshold * F.greatest(v("x", "n"), v("y", "n")))
+    room = (100 + threshold) * F.least(v("x", "left"), v("y", "left")) >= threshold * (v("x", "n") + v("y", "n"))
+    on = (v("x", "pair") == v("y", "pair")) & (v("x", "label") != v("y", "label")) & order & sizes & room
+    both = x.join(y.hint("shuffle_hash"), on)
+    return both.select(F.least(v("x", "sig"), v("y", "sig")).alias("a"), F.greatest(v("x", "sig"), v("y", "sig")).alias("b")).distinct()
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
@@ -365,8 +369,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     runs = runs.join(label.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
     runs = cut(runs, "runs")
     mixed = runs.groupBy("run").agg((F.min("label") != F.max("label")).alias("mixed")).where("mixed").select("run")
-    blocks = _block_pairs(runs.join(mixed, "run"), threshold)
-    cross = blocks.groupBy("pair").applyInPandas(_cross(threshold), "a long, b long").distinct()
+    cross = _cross(cut(_block_pairs(cut(runs.join(mixed, "run"), "mixed"), threshold), "blocks"), threshold)
     # Pairs of two are tried already, and so are those with a head; groups of two hold just such a pair.
     small = pairs.select("a", "b").join(label.withColumnRenamed("node", "a").withColumnRenamed("label", "la"), "a", "left")
     small = small.join(label.withColumnRenamed("node", "b").withColumnRenamed("label", "lb"), "b", "left")

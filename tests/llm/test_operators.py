@@ -412,8 +412,10 @@ def test_lines_that_share_segments(spark, threshold):
     assert got == {i: label[i] == i for i in range(len(lines))}
 
 
-def test_jaccard_with_a_frequent_passage(spark):
-    """A passage in every text, over many partitions; near copies that differ in their own words."""
+@pytest.mark.parametrize("block", [1024, 8])
+def test_jaccard_with_a_frequent_passage(spark, monkeypatch, block):
+    """A passage in every text, over many partitions; near copies that differ in their own words; groups of one and of many blocks."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
     rng = random.Random(5)
     passage = " ".join(f"common{i}" for i in range(60))
     rows = []
