@@ -5,21 +5,24 @@ DECAY to the length that it spans (up to SPAN), and is divided by a norm for eac
 and inserted characters lower it only gradually. Landmarks are words of both classes; the Nyström
 map K(w, L) K(L, L)^-1/2 turns words into vectors for a linear machine with squared hinge loss.
 
-Labels belong to whole texts. Every word of a clean text is a negative example; of a toxic text the
-word that scores highest stands for it, and is chosen anew in each round. A text scores by its
-highest word, mapped to a probability by logistic regression on the labelled texts. Fitting uses at
-most TRAIN_TOXIC toxic and TRAIN_CLEAN clean labelled texts (those with the smallest id hashes), of which
-the driver gets the distinct words. Every text is scored whole: the weights are one table of
+Labels belong to whole texts, so the machine learns from their words, the windows of their sentences that an insult
+fills. Every word of a clean text is a negative example; of a toxic text the
+word that scores highest stands for it, and is chosen anew in each round. A text's evidence are its TOP highest
+words and its number of distinct words, which logistic regression on the labelled texts turns into a probability.
+Fitting uses at most TRAIN_TOXIC toxic and TRAIN_CLEAN clean labelled texts (those with the smallest id hashes), of
+which the driver gets at most TRAIN_WORDS distinct words each. Every text is scored whole: the weights are one table of
 subsequences, so a word costs one pass over its own.
 
 A text that is null, or has no word of three characters, scores as a text without any toxic word. Without
 labels of both classes every text scores 0. Null labels and repeated labels of an id are allowed (any
-toxic one makes the text toxic). Columns other than the id and the text are ignored.
+toxic one makes the text toxic). Columns other than the id and the text are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -34,12 +37,16 @@ from .common import table, text_of
 
 #: Bounds of the sample that the classifier is fitted on.
 TRAIN_TOXIC, TRAIN_CLEAN = 3000, 5000
+#: Distinct words of a text that it is fitted on.
+TRAIN_WORDS = 2000
 LANDMARKS = 160
 DECAY, SPAN = 0.6, 8
 #: Longer words are taken in overlapping windows of this length.
 WIDTH = 24
 SYMBOLS = 64
 ROUNDS = 3
+#: Words of a text that its probability rests on, and the least value of one.
+TOP, LOW = 4, -3.0
 #: Scores of words that a worker keeps.
 KNOWN = 500_000
 RIDGE = 1.0
@@ -148,8 +155,8 @@ def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = RIDGE)
     return v
 
 
-def fit(texts: Iterable[tuple[str, int]]) -> tuple[np.ndarray, float, float, float] | None:
-    """Table of subsequence weights, bias, and slope and offset of the probability."""
+def fit(texts: Iterable[tuple[str, int]]) -> tuple[np.ndarray, float, np.ndarray] | None:
+    """Table of subsequence weights, bias, and the weights of a text's evidence."""
     toxic: list[list[str]] = []
     clean: list[list[str]] = []
     same: dict[str, str] = {}  # one object for each distinct word
@@ -208,37 +215,43 @@ def fit(texts: Iterable[tuple[str, int]]) -> tuple[np.ndarray, float, float, flo
         negatives |= set(sorted(hard, key=lambda w: (-value[place[w]], w))[:6000])
         stand = {max(ws, key=lambda w: (value[place[w]], w)) for ws in toxic if ws}
         stand = {w for w in stand if value[place[w]] > 0 and in_c[w] * 20 <= in_t[w]}
-    top = lambda ws: max((value[place[w]] for w in ws), default=bias)
-    s = np.array([top(ws) for ws in toxic + clean])
+    x = np.array([evidence([value[place[w]] for w in ws]) for ws in toxic + clean])
     y = np.array([1.0] * len(toxic) + [0.0] * len(clean))
-    slope, offset = logistic(s, y)
-    return weights.astype(np.float32), float(bias), slope, offset
+    return weights.astype(np.float32), float(bias), logistic(x, y)
 
 
-def zlib_bucket(word: str) -> int:
-    import zlib
+def evidence(values: list[float]) -> list[float]:
+    """What a text's probability rests on: its TOP highest words, and how many words it has, as many words reach high by chance."""
+    top = heapq.nlargest(TOP, values)
+    top += [LOW] * (TOP - len(top))
+    return [max(v, LOW) for v in top] + [float(np.log1p(len(values)))]
+
 
+def zlib_bucket(word: str) -> int:
     return zlib.crc32(word.encode("utf-8", "replace")) % 1000
 
 
-def logistic(s: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of P(y) = 1 / (1 + exp(-(slope s + offset))), slightly ridged; the slope is not negative."""
-    a, b = 1.0, 0.0
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a * s + b, -30, 30)))
+def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights of the evidence and the offset of P(y) = 1 / (1 + exp(-z)), slightly ridged, by Newton steps; each word's weight is at least 0."""
+    x = np.hstack([x, np.ones((len(x), 1))])
+    free, v = np.ones(x.shape[1], bool), np.zeros(x.shape[1])
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-np.clip(x @ v, -30, 30)))
         w = np.maximum(p * (1 - p), 1e-9)
-        grad = np.array([(s * (y - p)).sum() - 1e-2 * a, (y - p).sum() - 1e-2 * b])
-        hess = np.array([[(w * s * s).sum() + 1e-2, (w * s).sum()], [(w * s).sum(), w.sum() + 1e-2]])
-        step = np.clip(np.linalg.solve(hess, grad), -2, 2)
-        a, b = a + step[0], b + step[1]
+        grad = x.T @ (y - p) - 1e-1 * v
+        hess = (x.T * w) @ x + 1e-1 * np.eye(len(v))
+        step = np.zeros(len(v))
+        step[free] = np.clip(np.linalg.solve(hess[np.ix_(free, free)], grad[free]), -2, 2)
+        v = v + step
+        v[:TOP] = np.maximum(v[:TOP], 0.0)
         if np.abs(step).max() < 1e-9:
             break
-    return max(a, 1e-3), b
+    return v
 
 
 class Scorer:
-    def __init__(self, model: tuple[np.ndarray, float, float, float]):
-        self.weights, self.bias, self.slope, self.offset = model
+    def __init__(self, model: tuple[np.ndarray, float, np.ndarray]):
+        self.weights, self.bias, self.final = model
         self.known: dict[str, float] = {}
 
     def texts(self, texts: list[str]) -> list[float]:
@@ -257,10 +270,10 @@ class Scorer:
             best[np.isinf(best)] = 0
         fresh = dict(zip(new, best.tolist(), strict=True))
         known = self.known
-        top = [max([fresh[w] if w in fresh else known[w] for w in ws], default=0.0) for ws in sets]
+        x = np.array([evidence([(fresh[w] if w in fresh else known[w]) + self.bias for w in ws]) for ws in sets]).reshape(len(sets), TOP + 1)
         for w, f in fresh.items():
             keep(known, w, f, KNOWN)
-        z = self.slope * (np.maximum(top, -1e6) + self.bias) + self.offset
+        z = x @ self.final[:-1] + self.final[-1]
         return (1 / (1 + np.exp(-np.clip(z, -50, 50)))).tolist()
 
 
@@ -273,7 +286,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            words = [" ".join(sorted(words_of(t))) for t in b.column("text").to_pylist()]
+            sets = [words_of(t) for t in b.column("text").to_pylist()]
+            # A longer text is learnt from by a sample of its words, so that the driver's share is bounded.
+            words = [" ".join(sorted(ws if len(ws) <= TRAIN_WORDS else sorted(ws, key=lambda w: zlib.crc32(w.encode("utf-8", "replace")))[:TRAIN_WORDS])) for ws in sets]
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), b.column("y")], ["words", "y"])
 
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("doc_id is not null and y is not null")

@@ -600,6 +600,41 @@ def test_toxicity(spark, none):
     assert sum(p == y for p, y in held) >= 0.97 * len(held)
     assert got[1000].predicted == got[1001].predicted == 0 and got[1002].predicted == 1
     assert toxicity.score(none, None).count() == 0 and {r.score for r in toxicity.score(docs, None).collect()} == {0.0}
+    # No labels of a class, an empty labels table, and columns with other tables' names.
+    assert toxicity.train(docs, marks.where("toxic = 0")) is None and toxicity.train(docs, marks.limit(0)) is None
+    model = toxicity.train(docs.withColumn("toxic", F.lit(9)).withColumn("y", F.lit(1)), marks.withColumn("text", F.lit("z")))
+    again = {r.doc_id: r.score for r in toxicity.score(docs.select("doc_id", "text", F.lit(3).alias("score"), F.lit(2).alias("held_out")), model).collect()}
+    assert all(abs(again[i] - r.score) < 1e-12 for i, r in got.items())
+    # One inserted character, anywhere in a word of an otherwise clean text.
+    rng = random.Random(2)
+    made = [w[:a] + rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") + w[a:] for w in ("blockhead", "numbskull") for a in range(1, len(w)) for _ in range(4)]
+    said = [prose(10) + " " + w for w in made]
+    assert sum(s >= 0.5 for s in toxicity.Scorer(model).texts(said)) >= 0.9 * len(said)
+    assert sum(s >= 0.5 for s in toxicity.Scorer(model).texts([prose(11) for _ in range(200)])) <= 4
+
+
+def test_toxicity_kernel_counts_subsequences():
+    """The kernel against counting all common subsequences of three characters with their gaps."""
+    import itertools
+
+    def features(w):
+        out = {}
+        for i, j, k in itertools.combinations(range(len(w)), 3):
+            if k - i < toxicity.SPAN:
+                out[w[i] + w[j] + w[k]] = out.get(w[i] + w[j] + w[k], 0) + toxicity.DECAY ** (k - i + 1)
+        return out
+
+    def norm(n):
+        return sum((toxicity.DECAY ** (k - i + 1)) ** 2 for i, j, k in itertools.combinations(range(n), 3) if k - i < toxicity.SPAN) ** 0.5
+
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcd") for _ in range(rng.randint(3, 12))) for _ in range(30)]
+    got = toxicity.kernel(words[:15], words[15:])
+    for a, x in enumerate(words[:15]):
+        for b, y in enumerate(words[15:]):
+            fx, fy = features(x), features(y)
+            want = sum(v * fy.get(s, 0) for s, v in fx.items()) / norm(len(x)) / norm(len(y))
+            assert abs(got[a, b] - want) < 1e-9
 
 
 def test_pipeline_judges_rows(spark, tmp_path):
