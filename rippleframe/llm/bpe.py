@@ -3,7 +3,7 @@
 Three steps:
 
 * ``distinct_words`` counts the words (matches of the pattern) of all texts, map-side first.
-* ``fold_merges`` folds the ranked merges over the byte arrays of distinct words in Spark's higher-order
+* ``fold_merges`` folds the ranked merges over the byte arrays of the distinct words that are broadcast in Spark's higher-order
   functions: the state is an array of binary pieces, a step joins the leftmost pair of the smallest rank, and
   ranks come from a literal map (small maps found by a checksum). Decoding concatenates the binary pieces.
 * ``encode_texts`` gives every worker the folded words, by a broadcast of at most MOST_WORDS, and puts texts
@@ -37,7 +37,9 @@ from .common import cut, discard, partitions, table, text_of
 #: Distinct chunks, and distinct words, that a worker keeps; only its memory and time depend on them.
 CHUNKS, WORDS = 300_000, 1_000_000
 #: Words that are broadcast, the most frequent ones (some 100 bytes each), and the longest that Spark folds.
-MOST_WORDS, LONG = 400_000, 96
+MOST_WORDS, LONG = 200_000, 96
+#: Characters of a plan's description while the literal is in it: Spark keeps the descriptions of past queries on the driver.
+PLAN_TEXT = 5_000
 
 
 def vocabulary() -> str:
@@ -195,8 +197,8 @@ class Encoder:
         return ids.count(b",") + 1, hashlib.sha256(ids).hexdigest(), hashlib.sha256(b"".join([g[1] for g in got])).hexdigest()
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, n) of the words of up to LONG bytes, added up over the task while they fit."""
+def _count_words(batches: Iterator[pa.RecordBatch], least: int = 1) -> Iterator[pa.RecordBatch]:
+    """(word, n) of the words of up to LONG bytes that a task has so often, added up over the task while they fit."""
     find, chunks, spaced, words = _finder(), Counter(), Counter(), Counter()
 
     def add() -> None:
@@ -206,7 +208,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunks.clear()
 
     def give() -> pa.RecordBatch:
-        some = {w: n for w, n in words.items() if len(w) <= LONG and len(w.encode()) <= LONG}
+        some = {w: n for w, n in words.items() if n >= least and len(w) <= LONG and len(w.encode()) <= LONG}
         words.clear()
         return pa.RecordBatch.from_arrays([pa.array(some.keys(), pa.string()), pa.array(some.values(), pa.int64())], ["word", "n"])
 
@@ -230,9 +232,9 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield give()
 
 
-def distinct_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """word, n of all words of up to LONG bytes."""
-    return docs.select(text_of(text_col).alias("text")).mapInArrow(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+def distinct_words(docs: DataFrame, text_col: str = "text", least: int = 1) -> DataFrame:
+    """word, n of all words of up to LONG bytes; with least, of those that some task has so often, counted there."""
+    return docs.select(text_of(text_col).alias("text")).mapInArrow(lambda b: _count_words(b, least), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def rank_literal(path: str, buckets: int) -> Column:
@@ -243,7 +245,7 @@ def rank_literal(path: str, buckets: int) -> Column:
     return F.from_json(F.lit(json.dumps(slots, separators=(",", ":"))), "array<map<string,int>>")
 
 
-def fold_merges(words: DataFrame, path: str, word_col: str = "word", buckets: int = 1 << 15) -> DataFrame:
+def fold_merges(words: DataFrame, path: str, word_col: str = "word", buckets: int = 1 << 13) -> DataFrame:
     """word, ids (array<int>), decoded (binary) of a table of distinct words, in higher-order functions.
 
     The state is the array of binary pieces; each step merges the leftmost pair of the smallest rank.
@@ -270,7 +272,8 @@ def fold_merges(words: DataFrame, path: str, word_col: str = "word", buckets: in
 
 def folded_words(docs: DataFrame, path: str, text_col: str = "text", most: int = MOST_WORDS) -> dict[str, tuple[str, bytes]]:
     """The ids and bytes of the most frequent words of docs, at most about most of them, on the driver."""
-    words = cut(distinct_words(docs, text_col), "words")
+    # A word that no task has twice isn't among the frequent ones.
+    words = cut(distinct_words(docs, text_col, 2), "words")
     n = words.count()
     if n > most:
         least = words.agg(F.percentile_approx("n", 1 - most / n, 100_000)).first()[0]
@@ -278,7 +281,13 @@ def folded_words(docs: DataFrame, path: str, text_col: str = "text", most: int =
     else:
         frequent = words
     # The rows are few and their work is much: they are dealt over all tasks.
-    folded = cut(fold_merges(frequent.repartition(partitions(docs.sparkSession)).select("word"), path), "folded")
+    conf, name = docs.sparkSession.conf, "spark.sql.maxPlanStringLength"
+    before = conf.get(name)
+    conf.set(name, str(PLAN_TEXT))
+    try:
+        folded = cut(fold_merges(frequent.repartition(partitions(docs.sparkSession)).select("word"), path), "folded")
+    finally:
+        conf.set(name, before)
     got = folded.select("word", F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").alias("ids"), "decoded").toArrow()
     discard(words)
     discard(folded)
