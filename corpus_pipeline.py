@@ -15,9 +15,9 @@ from rippleframe.llm.common import cut, discard, table
 
 
 def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
-    """docs with a key for each row, written once so that all readers see the same keys, and the key's name, which docs lacks."""
+    """docs with a key for each row, written once so that all readers see the same keys, and the key's name, which no column begins with."""
     name = "row"
-    while name.lower() in {c.lower() for c in docs.columns}:
+    while any(c.lower().startswith(name) for c in docs.columns):
         name = f"_{name}"
     return cut(docs.withColumn(name, F.monotonically_increasing_id()), "rows"), name
 
