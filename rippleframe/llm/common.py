@@ -24,7 +24,7 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not re.match(r"local($|\\[)", spark.sparkContext.master):
+    if not re.match(r"local($|\[)", spark.sparkContext.master):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not hasattr(spark, "_rippleframe_dir"):
         spark._rippleframe_dir = "file://" + tempfile.mkdtemp(prefix="rippleframe-")

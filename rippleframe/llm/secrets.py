@@ -41,8 +41,8 @@ MORE = (
     ("forge", r"\b(?:gh[pousr]_|glpat-|xox[abprs]-)[A-Za-z0-9_-]+", re.ASCII, 0, 20),
     ("url", r"\b[a-z][a-z0-9+.]*://[^\s:/@]+:([^\s:/@]+)@", re.ASCII, 1, 4),
 )
-#: The pair's second half.
-RULE_VERSION = zlib.crc32(repr(BASE + MORE).encode())
+#: The pair's second half: a checksum of the rules and of the number of how they are applied.
+RULE_VERSION = zlib.crc32(repr((1, BASE, MORE)).encode())
 _RULES = [(kind, re.compile(pattern, flags), group, least) for kind, pattern, flags, group, least in BASE + MORE]
 
 

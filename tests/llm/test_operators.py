@@ -38,6 +38,34 @@ def none(spark):
     return spark.createDataFrame([], "doc_id long, text string, n int, sig string")
 
 
+def test_membership_filter_and_salted_join(spark):
+    """The filter lets every member through and few others; the salted join is a join."""
+    from rippleframe.llm import common
+
+    values = spark.range(2000).select(F.xxhash64("id").alias("v"))
+    rows = spark.range(20000).select("id", F.xxhash64("id").alias("v"), F.lit(1).alias("_map_"))
+    got = [r.id for r in common.Members(values, "v").keep(rows, "v").collect()]
+    assert set(range(2000)) <= set(got) and len(got) == len(set(got)) < 2200
+    assert common.Members(values.limit(0), "v").keep(rows, "v").count() == 0
+    left = spark.range(3000).select(F.when(F.col("id") % 7 == 0, None).when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("k"), F.col("id") % 50)).alias("k"), "id").repartition(5)
+    right = spark.createDataFrame([("hot", 1), ("k1", 2), ("k2", 3)], "k string, w int")
+    for how in ("left", "inner"):
+        want = sorted(map(str, left.join(right, "k", how).select("id", "k", "w").collect()))
+        assert sorted(map(str, common.salted_join(left, right, "k", how).select("id", "k", "w").collect())) == want
+
+
+def test_intermediate_tables_need_a_shared_folder():
+    from types import SimpleNamespace as Some
+
+    from rippleframe.llm import common
+
+    session = lambda master, named=None: Some(conf=Some(get=lambda *_: named), sparkContext=Some(master=master))
+    assert common.shared_dir(session("local[4]")).startswith("file://") and common.shared_dir(session("yarn", "hdfs://x/y/")) == "hdfs://x/y"
+    for master in ("yarn", "local-cluster[2,1,1024]", "spark://h:7077"):
+        with pytest.raises(ValueError):
+            common.shared_dir(session(master))
+
+
 def test_exact_groups(docs, none):
     norm = lambda t: re.sub(r"[\x20\x09-\x0D]", "", t or "")
     groups = {}
