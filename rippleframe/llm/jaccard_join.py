@@ -242,7 +242,7 @@ def _overlaps(pairs: np.ndarray, sig: np.ndarray, token: np.ndarray) -> np.ndarr
 
 
 def _pieces(order: Order):
-    """Rows (sig, n, fragment, shingles): what the sets that are asked for hold in each fragment of the order, once for each set."""
+    """Rows (sig, n, pieces): what the sets that are asked for hold in each fragment of the order, once for each set of a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -259,22 +259,22 @@ def _pieces(order: Order):
                     level = order.level(x)
                     y = x[level > ONCE]
                     part = order.fragment(y, level[level > ONCE], VERTICAL)
-                    rows += [(s, len(x), f, y[part == f].tobytes()) for f in np.unique(part).tolist()]
+                    rows.append((s, len(x), [y[part == f].tobytes() for f in range(VERTICAL)]))
             if rows:
                 cols = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["sig", "n", "fragment", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.list_(pa.binary())), strict=True)], ["sig", "n", "pieces"])
 
     return run
 
 
 def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The common shingles of a pair in one fragment."""
+    """The common shingles of a pair, counted in each fragment by itself."""
     for b in batches:
         common = [
-            len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
+            [len(np.intersect1d(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), assume_unique=True)) if p and q else 0 for p, q in zip(x, y, strict=True)]
             for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True)
         ]
-        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("a", "b", "na", "nb")), pa.array(common, pa.int64())], ["a", "b", "na", "nb", "overlap"])
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("a", "b", "na", "nb")), pa.array(common, pa.list_(pa.int64()))], ["a", "b", "na", "nb", "parts"])
 
 
 def _block_pairs(mixed: DataFrame, threshold: int) -> DataFrame:
@@ -351,13 +351,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         chosen = cut(chosen, f"{name}-pairs")
         need = chosen.select("a").union(chosen.select("b")).distinct().join(sets.select(F.col("sig").alias("a"), "doc_id"), "a")
         got = rows.join(need, rows["doc_id"].eqNullSafe(need["doc_id"])).select(F.col("a").alias("sig"), "text")
-        # A set that several tasks sent must count once.
-        got = got.mapInArrow(_pieces(order), "sig long, n long, fragment long, shingles binary").dropDuplicates(["sig", "fragment"])
+        # A set that several tasks sent must stand once.
+        got = got.mapInArrow(_pieces(order), "sig long, n long, pieces array<binary>").dropDuplicates(["sig"])
         got = cut(got, f"{name}-pieces")
-        both = chosen.join(got.select(F.col("sig").alias("a"), F.col("n").alias("na"), "fragment", F.col("shingles").alias("x")), "a")
-        both = both.join(got.select(F.col("sig").alias("b"), F.col("n").alias("nb"), "fragment", F.col("shingles").alias("y")), ["b", "fragment"])
-        sums = both.select("a", "b", "na", "nb", "x", "y").mapInArrow(_partial, "a long, b long, na long, nb long, overlap long")
-        sums = sums.groupBy("a", "b", "na", "nb").agg(F.sum("overlap").alias("overlap"))
+        both = chosen.join(got.select(F.col("sig").alias("a"), F.col("n").alias("na"), F.col("pieces").alias("x")), "a")
+        both = both.join(got.select(F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("pieces").alias("y")), "b")
+        sums = both.select("a", "b", "na", "nb", "x", "y").mapInArrow(_partial, "a long, b long, na long, nb long, parts array<long>")
+        sums = sums.withColumn("overlap", F.aggregate("parts", F.lit(0).cast("long"), lambda t, n: t + n))
         enough = 100 * F.col("overlap") >= threshold * (F.col("na") + F.col("nb") - F.col("overlap"))
         out = cut(sums.where(enough).select("a", "b"), f"{name}-links")
         discard(got)
