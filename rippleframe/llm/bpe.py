@@ -203,8 +203,9 @@ def _count_words(batches: Iterator[pa.RecordBatch], least: int = 1) -> Iterator[
 
     def add() -> None:
         for chunk, n in chunks.items():
-            for w in matches(chunk, find):
-                words[w] += n
+            if n >= least:  # words of rarer chunks aren't frequent, or are so in others
+                for w in matches(chunk, find):
+                    words[w] += n
         chunks.clear()
 
     def give() -> pa.RecordBatch:
