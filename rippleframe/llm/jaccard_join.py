@@ -278,7 +278,7 @@ def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _block_pairs(mixed: DataFrame, threshold: int) -> DataFrame:
-    """Members of runs (run, sig, n, place, label), once for each pair of blocks that they are in: with pair (its name) and part.
+    """Members of runs (run, sig, n, place, label, tried), once for each pair of blocks that they are in: with pair (its name) and part.
 
     A run of at most BLOCK members is one block. Larger ones are parted by size into bands, of which only neighbours can
     hold links, and bands by hash into blocks.
@@ -287,7 +287,7 @@ def _block_pairs(mixed: DataFrame, threshold: int) -> DataFrame:
     mixed = mixed.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / base + 1e-9).cast("long"))
     sizes = mixed.groupBy("run", "band").agg(F.count(F.lit(1)).alias("members"))
     large = sizes.groupBy("run").agg(F.sum("members").alias("all")).where(F.col("all") > BLOCK).select("run")
-    small = mixed.join(large, "run", "left_anti").select("sig", "n", "place", "label", F.col("run").alias("pair"), F.lit(0).cast("long").alias("part"))
+    small = mixed.join(large, "run", "left_anti").select("sig", "n", "place", "label", "tried", F.col("run").alias("pair"), F.lit(0).cast("long").alias("part"))
     sizes = sizes.join(large, "run").select("run", "band", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
     around = sizes.select("run", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band"), F.col("band").alias("other"), "blocks")
     around = around.groupBy("run", "band").agg(F.collect_list(F.struct("other", "blocks")).alias("near"))  # at most three
@@ -299,11 +299,11 @@ def _block_pairs(mixed: DataFrame, threshold: int) -> DataFrame:
     low, high = F.least(here, there), F.greatest(here, there)
     pair = F.xxhash64("run", low["band"], low["block"], high["band"], high["block"])
     part = F.when((F.col("band") == F.col("o.other")) & (F.col("block") == F.col("with")), 0).when(low["band"] * 1_000_000 + low["block"] == F.col("band") * 1_000_000 + F.col("block"), 1).otherwise(2)
-    return small.unionByName(rows.select("sig", "n", "place", "label", pair.alias("pair"), part.cast("long").alias("part")))
+    return small.unionByName(rows.select("sig", "n", "place", "label", "tried", pair.alias("pair"), part.cast("long").alias("part")))
 
 
 def _cross(members: DataFrame, threshold: int) -> DataFrame:
-    """a, b: the pairs of a block, or of two, between different components that the filters leave.
+    """a, b: the pairs of a block, or of two, between different components that the filters leave and that weren't tried yet.
 
     Blocks are bounded, so a key has few rows; keys are dealt over all tasks, however few bytes they are.
     """
@@ -314,7 +314,8 @@ def _cross(members: DataFrame, threshold: int) -> DataFrame:
     order = F.when(v("x", "part") == 0, v("x", "sig") < v("y", "sig")).otherwise(v("x", "part") < v("y", "part"))
     sizes = (100 * F.least(v("x", "n"), v("y", "n"))) >= (threshold * F.greatest(v("x", "n"), v("y", "n")))
     room = (100 + threshold) * F.least(v("x", "left"), v("y", "left")) >= threshold * (v("x", "n") + v("y", "n"))
-    on = (v("x", "pair") == v("y", "pair")) & (v("x", "label") != v("y", "label")) & order & sizes & room
+    new = ~F.array_contains(v("x", "tried"), v("y", "sig")) & ~F.array_contains(v("y", "tried"), v("x", "sig"))
+    on = (v("x", "pair") == v("y", "pair")) & (v("x", "label") != v("y", "label")) & order & sizes & room & new
     both = x.join(y.hint("shuffle_hash"), on)
     return both.select(F.least(v("x", "sig"), v("y", "sig")).alias("a"), F.greatest(v("x", "sig"), v("y", "sig")).alias("b")).distinct()
 
@@ -344,7 +345,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     best = sides.groupBy("a").agg(
         F.min_by("b", F.xxhash64("b")).alias("x"), F.max_by("b", F.struct("overlap", F.xxhash64("b"))).alias("y"), F.min_by("b", F.xxhash64("b", F.lit(1))).alias("z")
     )
-    chosen = best.select("a", F.explode(F.array("x", "y", "z")).alias("b"))
+    best = cut(best.select(F.col("a").alias("sig"), F.array("x", "y", "z").alias("tried")), "best")
+    chosen = best.select(F.col("sig").alias("a"), F.explode("tried").alias("b"))
     chosen = chosen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     def linked(chosen: DataFrame, name: str) -> DataFrame:
@@ -367,6 +369,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     label = components(links)
     runs = met.where("run is not null").groupBy("run", "sig").agg(F.first("n").alias("n"), F.min("place").alias("place"))
     runs = runs.join(label.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
+    runs = runs.join(best, "sig", "left").withColumn("tried", F.coalesce("tried", F.array().cast("array<long>")))
     runs = cut(runs, "runs")
     mixed = runs.groupBy("run").agg((F.min("label") != F.max("label")).alias("mixed")).where("mixed").select("run")
     cross = _cross(cut(_block_pairs(cut(runs.join(mixed, "run"), "mixed"), threshold), "blocks"), threshold)
