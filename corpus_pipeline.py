@@ -7,6 +7,7 @@ Rows are judged one by one: the first stages name them by a key of their own, as
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,11 +16,34 @@ from rippleframe.llm.common import cut, discard, table
 
 
 def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
-    """docs with a key for each row, written once so that all readers see the same keys, and the key's name, which no column begins with."""
+    """docs with a key for each row that all readers see alike, and the key's name, which no column begins with.
+
+    Rows that are read straight from Parquet files are named by file and place; others are written once.
+    """
     name = "row"
     while any(c.lower().startswith(name) for c in docs.columns):
         name = f"_{name}"
-    return cut(docs.withColumn(name, F.monotonically_increasing_id()), "rows"), name
+    placed = _placed(docs, name)
+    return (cut(docs.withColumn(name, F.monotonically_increasing_id()), "rows") if placed is None else placed), name
+
+
+#: Bits of a key that number the rows of a file.
+PLACE = 40
+
+
+def _placed(docs: DataFrame, name: str) -> DataFrame | None:
+    """docs with the key 2^PLACE * file + place; None if docs isn't just a table of Parquet files."""
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation" or "_metadata" in map(str.lower, docs.columns):
+        return None
+    file, place = f"{name}_file", f"{name}_place"
+    try:
+        rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(place))
+    except AnalysisException:  # a format without places
+        return None
+    paths = sorted(r[0] for r in rows.select(file).distinct().collect())  # a row for each file
+    files = docs.sparkSession.range(1).select(F.posexplode(F.array(*map(F.lit, paths)).cast("array<string>")).alias(name, file))
+    key = F.shiftleft(F.col(name).cast("long"), PLACE) + F.col(place)
+    return rows.join(F.broadcast(files), file).withColumn(name, key).drop(file, place)
 
 
 def narrow(rows: DataFrame, row: str) -> DataFrame:

@@ -6,6 +6,7 @@ import random
 import re
 import string
 import zlib
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -715,6 +716,32 @@ def test_pipeline_judges_rows(spark, tmp_path):
     assert corpus_pipeline.keep_one_near(spark, frame(rows).limit(0), str(tmp_path)).count() == 0
 
 
+def test_pipeline_keys_of_files_need_no_copy(spark, tmp_path):
+    """Rows of Parquet files, with repeated and null ids, keep their keys from read to read, and no copy of them stays."""
+    import corpus_pipeline
+    from rippleframe.llm.common import shared_dir
+
+    shared = Path(shared_dir(spark).removeprefix("file://"))
+    copies = lambda: set(shared.glob("rippleframe-rows-*"))
+    texts = [prose(20) for _ in range(50)]
+    rows = [(None if i % 3 else i % 4, texts[i % 50], i) for i in range(4000)]
+    spark.createDataFrame(rows, "doc_id long, text string, _row_file int").repartition(3).write.option("parquet.block.size", 4096).parquet(f"{tmp_path}/docs %41.parquet")
+    frame, before = spark.read.parquet(f"{tmp_path}/docs %41.parquet"), copies()
+    keys, name = corpus_pipeline.keyed(frame)
+    assert name == "row" and keys.select("row").distinct().count() == len(rows)
+    again = corpus_pipeline.keyed(frame)[0].where("_row_file % 2 = 0").select("row", F.col("_row_file").alias("i")).repartition(7)
+    assert keys.join(again, "row").where("i = _row_file").count() == len(rows) // 2
+    got = corpus_pipeline.keep_one_copy(spark, frame, str(tmp_path)).collect()
+    want = {}
+    for i, t, k in rows:
+        want[t] = min(want.get(t, (True, 0)), (i is None, i or 0))
+    assert {r.text: (r.doc_id is None, r.doc_id or 0) for r in got} == want and len(got) == 50
+    assert copies() == before
+    # Rows that a plan repeats have no place of their own.
+    twice = corpus_pipeline.keyed(frame.withColumn("_", F.explode(F.array(F.lit(1), F.lit(2)))))[0]
+    assert twice.select("row").distinct().count() == 2 * len(rows)
+
+
 #: Names that operators use inside, and other columns of a corpus may have.
 CLASHING = ("spans", "blob", "row", "row_spans", "salt", "_salt", "sig", "label", "n", "score", "predicted", "kept", "keep_id", "component_id", "h", "prefix", "key")
 
