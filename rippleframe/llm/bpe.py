@@ -26,7 +26,7 @@ import uuid
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
-from itertools import islice
+from itertools import islice, pairwise
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -57,23 +57,20 @@ def merge(word: bytes, ranks: dict[bytes, int]) -> list[bytes]:
     """The pieces of one word: the pair of the smallest rank is merged, leftmost first, until none has a rank."""
     if word in ranks:
         return [word]
-    pieces = [word[i : i + 1] for i in range(len(word))]
-    if len(pieces) > 64:
-        return _merge_long(pieces, ranks)
+    n = len(word)
+    if n > 64:
+        return _merge_long([word[i : i + 1] for i in range(n)], ranks)
     get, none = ranks.get, 1 << 60
-    pair = [get(a + b, none) for a, b in zip(pieces, pieces[1:], strict=False)]
-    while pair:
-        best = min(pair)
-        if best == none:
-            break
+    at = list(range(n + 1))  # where pieces begin, and the end
+    pair = [get(word[i : i + 2], none) for i in range(n - 1)]
+    while pair and (best := min(pair)) != none:
         i = pair.index(best)
-        pieces[i : i + 2] = [pieces[i] + pieces[i + 1]]
-        del pair[i]
+        del pair[i], at[i + 1]
         if i:
-            pair[i - 1] = get(pieces[i - 1] + pieces[i], none)
+            pair[i - 1] = get(word[at[i - 1] : at[i + 1]], none)
         if i < len(pair):
-            pair[i] = get(pieces[i] + pieces[i + 1], none)
-    return pieces
+            pair[i] = get(word[at[i] : at[i + 2]], none)
+    return [word[a:b] for a, b in pairwise(at)]
 
 
 def _merge_long(pieces: list[bytes], ranks: dict[bytes, int]) -> list[bytes]:
@@ -102,11 +99,16 @@ def _merge_long(pieces: list[bytes], ranks: dict[bytes, int]) -> list[bytes]:
     return [p for p, ok in zip(pieces, alive, strict=True) if ok]
 
 
-_EDGE = re.compile(r"\s\s|\A\s|\s\Z").search
+_TWO = re.compile(r"\s\s").search
 #: ASCII marks: one of the pattern's matches if nothing else stands among them.
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
+def _edge(text: str) -> bool:
+    """Whether white space stands beside white space or at an end."""
+    return text[:1].isspace() or text[-1:].isspace() or _TWO(text) is not None
+
+
 def chunks_of(text: str) -> list[str]:
     """Cuts text before single spaces that stand between other characters than white space. No match
     of the pattern crosses such a cut, so the chunks can be encoded one by one."""
@@ -129,7 +131,10 @@ class Table(dict):
 
     def __missing__(self, key: str) -> object:
         value = self.make(key)
-        keep(self, key, value, self.most)
+        if len(key) <= 64 and len(self) < self.most:
+            self[key] = value
+        else:
+            keep(self, key, value, self.most)
         return value
 
 
@@ -150,7 +155,7 @@ class Chunks:
         self.spaced = Table(lambda rest: self.words[" " + rest] if rest.isalpha() else chunk(" " + rest), CHUNKS)
 
     def of(self, text: str) -> list:
-        if _EDGE(text):
+        if _edge(text):
             return list(map(self.chunks.__getitem__, chunks_of(text)))
         first, *rest = text.split(" ")  # every space stands alone
         return [self.chunks[first], *map(self.spaced.__getitem__, rest)]
@@ -176,17 +181,21 @@ class Encoder:
 
     def __init__(self, path: str, known: dict[str, tuple[str, bytes]]):
         self.ranks, self.known, self.find = load_ranks(path), known, _finder()
-        self.pieces = {i: b for b, i in self.ranks.items()}
+        self.names = {b: str(i) for b, i in self.ranks.items()}
+        self.pieces = {i: b for b, i in self.names.items()}
         self.chunks = Chunks(self.word, self.chunk)
 
     def word(self, word: str) -> tuple[str, bytes]:
         if (got := self.known.get(word)) is not None:
             return got
-        ids = list(map(self.ranks.__getitem__, merge(word.encode(), self.ranks)))
-        return ",".join(map(str, ids)), b"".join(map(self.pieces.__getitem__, ids))
+        ids = [self.names[p] for p in merge(word.encode(), self.ranks)]
+        return ",".join(ids), b"".join([self.pieces[i] for i in ids])
 
     def chunk(self, chunk: str) -> tuple[str, bytes]:
-        parts = list(map(self.chunks.words.__getitem__, matches(chunk, self.find)))
+        parts = [self.chunks.words[m] for m in matches(chunk, self.find)]
+        if len(parts) == 2:
+            (a, x), (b, y) = parts
+            return f"{a},{b}", x + y
         return ",".join([p[0] for p in parts]), b"".join([p[1] for p in parts])
 
     def text(self, text: str) -> tuple[int, str, str]:
@@ -215,7 +224,7 @@ def _count_words(batches: Iterator[pa.RecordBatch], least: int = 1) -> Iterator[
 
     for b in batches:
         for text in b.column("text").to_pylist():
-            if _EDGE(text):
+            if _edge(text):
                 chunks.update(chunks_of(text))
             else:
                 first, *rest = text.split(" ")  # every space stands alone
