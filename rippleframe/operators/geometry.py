@@ -24,6 +24,15 @@ def power(exponent: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1), exponent.cast("int"))
 
 
+def floor_power(a: Column, exponent: Column) -> Column:
+    """a by two to this, towards minus infinity: an arithmetic shift."""
+    return F.call_function("shiftright", a.cast("int"), exponent.cast("int"))
+
+
+def ceil_power(a: Column, exponent: Column) -> Column:
+    return -floor_power(-a, exponent)
+
+
 def ilog2(n: Column) -> Column:
     """The largest power of two that n holds; 0 up to 1."""
     return F.when(n <= 1, 0).otherwise(F.length(F.bin(n)) - 1)
@@ -64,10 +73,10 @@ def bands(df: DataFrame) -> DataFrame:
     """Resolutions to bands: kind 0 LL, 1 HL, 2 LH, 3 HH, and bx0 .. by1 in the band's own coordinates."""
     df = df.select("*", F.explode(F.when(F.col("res") == 0, F.array(F.lit(0))).otherwise(F.array(F.lit(1), F.lit(2), F.lit(3)))).alias("band"))
     depth = F.col("levels") - F.col("res") + F.when(F.col("res") > 0, 1).otherwise(0)
-    size, half = power(depth), floor_div(power(depth), 2)
+    half = F.shiftright(power(depth), 1)
 
     def edge(c: str, shifted: Column) -> Column:
-        return ceil_div(F.col(c) - half * shifted, size)
+        return ceil_power(F.col(c) - half * shifted, depth)
 
     right, low = F.col("band").bitwiseAND(1), F.shiftright("band", 1)
     return df.withColumns({"bx0": edge("x0", right), "by0": edge("y0", low), "bx1": edge("x1", right), "by1": edge("y1", low)})
@@ -82,8 +91,13 @@ def block_sizes(df: DataFrame, block: int = 4) -> DataFrame:
 def code_blocks(df: DataFrame, block: int = 4) -> DataFrame:
     """Bands to blocks: cbx, cby on a grid from 0, and their rectangle within the band."""
     df = block_sizes(df, block).where("bx1 > bx0 and by1 > by0")
-    for name, low, high, exp in (("cbx", "bx0", "bx1", "cw"), ("cby", "by0", "by1", "ch")):
-        df = df.withColumn(name, F.explode(F.sequence(floor_div(F.col(low), power(F.col(exp))), floor_div(F.col(high) - 1, power(F.col(exp))))))
+    firsts = {"cbx": floor_power(F.col("bx0"), F.col("cw")), "cby": floor_power(F.col("by0"), F.col("ch"))}
+    lasts = {"cbx1": floor_power(F.col("bx1") - 1, F.col("cw")), "cby1": floor_power(F.col("by1") - 1, F.col("ch"))}
+    df = df.withColumns(firsts | lasts)
+    # One list of both: a second list within the first makes a loop that the JVM doesn't compile.
+    wide = F.col("cbx1") - F.col("cbx") + 1
+    df = df.withColumn("at", F.explode(F.sequence(F.lit(0), wide * (F.col("cby1") - F.col("cby") + 1) - 1)))
+    df = df.withColumns({"cbx": F.col("cbx") + F.pmod("at", wide), "cby": F.col("cby") + F.call_function("div", F.col("at"), wide).cast("int")}).drop("at", "cbx1", "cby1")
     left, top, wide, high = F.col("cbx") * power(F.col("cw")), F.col("cby") * power(F.col("ch")), power(F.col("cw")), power(F.col("ch"))
     return df.withColumns({"cx0": F.greatest("bx0", left), "cy0": F.greatest("by0", top), "cx1": F.least("bx1", left + wide), "cy1": F.least("by1", top + high)})
 

@@ -116,8 +116,15 @@ bands as (select *, (x0 - (case when band & 1 = 1 then (1 << nb) >> 1 else 0 end
 (x1 - (case when band & 1 = 1 then (1 << nb) >> 1 else 0 end) + (1 << nb) - 1) >> nb as bx1, (y1 - (case when band >= 2 then (1 << nb) >> 1 else 0 end) + (1 << nb) - 1) >> nb as by1 from bk)"""
 
 
-def _bands(spark, sf):
-    return geometry.bands(geometry.resolutions(geometry.tiles(img_dim(spark, sf))))
+def _bands(spark, sf, images=None):
+    return geometry.bands(geometry.resolutions(geometry.tiles(img_dim(spark, sf) if images is None else images)))
+
+
+def _dealt(spark, sf):
+    """The images, dealt over all cores: their file is small, and each becomes some hundreds of rows."""
+    images = img_dim(spark, sf)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return images.repartition(tasks, "image_id")
 
 
 @query(f"with {BANDS} select image_id, tile, res, band, ['LL', 'HL', 'LH', 'HH'][band + 1] as name, cast(bx0 as int) as x0, cast(by0 as int) as y0, cast(bx1 - bx0 as int) as w, cast(by1 - by0 as int) as h from bands")
@@ -132,7 +139,7 @@ CELLS = f"{BANDS}, cells as (select *, least(4, ppx - cast(res > 0 as int)) as c
 @query(f"""with {CELLS}, k as (select *, unnest(range(bx0 >> cw, ((bx1 - 1) >> cw) + 1)) as cbx from (select *, unnest(range(by0 >> ch, ((by1 - 1) >> ch) + 1)) as cby from cells where bx1 > bx0 and by1 > by0))
 select image_id, tile, res, band, cast(cbx as int) as cbx, cast(cby as int) as cby, cast(greatest(bx0, cbx << cw) as int) as x0, cast(greatest(by0, cby << ch) as int) as y0, cast(least(bx1, (cbx + 1) << cw) as int) as x1, cast(least(by1, (cby + 1) << ch) as int) as y1 from k""")
 def codeblock_grid(spark, sf):
-    t = geometry.code_blocks(_bands(spark, sf))
+    t = geometry.code_blocks(_bands(spark, sf, _dealt(spark, sf)))
     return t.select("image_id", "tile", "res", "band", "cbx", "cby", *[F.col(f"c{c}").cast("int").alias(c) for c in ("x0", "y0", "x1", "y1")])
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from rippleframe import plans
 from rippleframe.functions import color, quant
-from rippleframe.operators import blocks, lifting
+from rippleframe.operators import blocks, geometry, lifting
 
 DATA = "/root/testdata/sf0.001"
 QUERIES, ORACLE_SQL = plans.every()
@@ -56,3 +56,17 @@ def test_pass_codes_are_prefix_free(spark):
 def test_deadzone_guards_its_step(spark):
     t = spark.createDataFrame([(-7, 2.0), (7, 0.0)], "v int, s double")
     assert [r[0] for r in t.select(quant.deadzone(F.col("v"), F.col("s"))).collect()] == [-3, 7]
+
+
+def test_code_blocks_are_one_list_of_dealt_images(spark):
+    """A list within the blocks' list isn't compiled; and blocks as rectangles of a grid, by brute force."""
+    plan = QUERIES["codeblock_grid"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Generate explode") == 4 and "REPARTITION_BY_NUM" in plan  # tiles, resolutions, bands, blocks
+    bounds = [(0, 0, 1, 1), (-5, -9, 20, 3), (3, 5, 3, 9), (7, 1, 40, 33)]
+    t = spark.createDataFrame([(i, 0, 15, 15, *b) for i, b in enumerate(bounds)], "id int, res int, ppx int, ppy int, bx0 int, by0 int, bx1 int, by1 int")
+    got = sorted(map(tuple, geometry.code_blocks(t, 3).select("id", "cbx", "cby", "cx0", "cy0", "cx1", "cy1").collect()))
+    want = []
+    for i, (x0, y0, x1, y1) in enumerate(bounds):
+        cells = {(x // 8, y // 8) for x in range(x0, x1) for y in range(y0, y1)}
+        want += [(i, x, y, max(x0, 8 * x), max(y0, 8 * y), min(x1, 8 * x + 8), min(y1, 8 * y + 8)) for x, y in cells]
+    assert got == sorted(want)
