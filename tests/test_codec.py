@@ -472,3 +472,29 @@ def test_metrics_of_equal_and_no_samples(spark):
     t = spark.createDataFrame([(1, 1), (5, 5)], "a int, b int")
     assert metrics.psnr(t, "a", "b").first().psnr == float("inf") and metrics.psnr(t.limit(0), "a", "b").first().psnr is None
     assert metrics.conformance(t.limit(0), "a", "b").first().n == 0
+
+
+def test_many_bits_at_once():
+    """write() and read() give what code() gives bit by bit, in parts, from any state, past carries and bytes of ones."""
+    rng = random.Random(44)
+    for share in (0.0, 0.02, 0.5, 0.97, 1.0):
+        bits = bytes(int(rng.random() < share) for _ in range(4000))
+        contexts = [rng.randrange(mq.CONTEXTS) if share != 1.0 else 0 for _ in bits]
+        one, many, raw, raws = mq.Encoder(), mq.Encoder(), mq.RawEncoder(), mq.RawEncoder()
+        for b, c in zip(bits, contexts, strict=True):
+            one.code(b, c)
+            raw.code(b, 0)
+        for lo, hi in ((0, 0), (0, 1), (1, 1203), (1203, 4000)):
+            many.write(bits[lo:hi], contexts[lo:hi])
+            raws.write(bits[lo:hi])
+        assert one.state == many.state
+        coded, plain = one.finish(), raw.finish()
+        assert (many.finish(), raws.finish()) == (coded, plain)
+        back, kept = mq.Decoder(coded), mq.RawDecoder(plain)
+        assert back.read(contexts[:77]) + back.read([]) + back.read(contexts[77:]) == bits
+        assert kept.read(3) + kept.read(0) + kept.read(3997) == bits
+        # Wrong bytes, and the end of the data, too.
+        other = mq.Decoder(bytes(rng.choice((0, 255, 90)) for _ in range(60))), mq.Decoder(b"")
+        for d in other:
+            alike = mq.Decoder(d.data[:-2])
+            assert d.read(contexts) == bytes(alike.code(0, c) for c in contexts)
