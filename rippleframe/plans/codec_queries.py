@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 from operator import ne
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rippleframe.kernels import boxes, mq, structure, tagtree, tier1, tier2
+from rippleframe.kernels import boxes, lanes, mq, structure, tagtree, tier1, tier2
 from rippleframe.kernels.codec import Options
 from rippleframe.operators import images, metrics
 
@@ -30,23 +31,55 @@ def _each(df: DataFrame, key: str, value: str, wrong) -> DataFrame:
 _THREE = [i + k for k in range(3) for i in range(7, -1, -1)]
 
 
-def coder_mismatches(data: bytes) -> int:
-    """Bits that come back otherwise: bit i of each byte in context i, and in raw form."""
-    e, r = mq.Encoder(), mq.RawEncoder()
-    bits = b"".join([mq.BITS[b] for b in data])
-    contexts = (_THREE * (len(data) // 3 + 1))[: len(bits)]
-    e.write(bits, contexts)
+#: Bytes of text that a task's coders take together.
+TOGETHER = 32 << 20
+
+
+def _unlike(data: bytes, back: bytes) -> int:
+    """Bits of two words of one length that differ."""
+    return 0 if data == back else int(np.unpackbits(np.frombuffer(data, np.uint8) ^ np.frombuffer(back, np.uint8)).sum())
+
+
+def raw_mismatches(data: bytes) -> int:
+    r, bits = mq.RawEncoder(), np.unpackbits(np.frombuffer(data, np.uint8)).tobytes()
     r.write(bits)
-    back, raw = mq.Decoder(e.finish()).read(contexts), mq.RawDecoder(r.finish()).read(len(bits))
-    return sum(map(ne, bits, back)) + sum(map(ne, bits, raw))
+    back = mq.RawDecoder(r.finish()).read(len(bits))
+    return 0 if bits == back else sum(map(ne, bits, back))
+
+
+def coder_mismatches(words: list[bytes]) -> list[int]:
+    """Bits of each word that come back otherwise: bit i of each byte in context i, and in raw form."""
+    back = lanes.decode(lanes.encode(words, _THREE), [len(w) for w in words], _THREE)
+    return [_unlike(w, b) + raw_mismatches(w) for w, b in zip(words, back, strict=True)]
+
+
+def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """coder_mismatches of rows' words, in parts of TOGETHER bytes and the row that goes beyond."""
+    keys, words, size = [], [], 0
+
+    def part() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(keys), pa.array(coder_mismatches(words), pa.int64())], [name, "mismatches"])
+
+    for b in batches:
+        name, lo = b.schema.names[0], 0
+        for n, word in enumerate(b.column(1).to_pylist(), 1):
+            words.append(word)
+            size += len(word)
+            if size >= TOGETHER or n == b.num_rows:
+                keys.append(b.column(0).slice(lo, n - lo))
+                lo = n
+            if size >= TOGETHER:
+                yield part()
+                keys, words, size = [], [], 0
+    if words:
+        yield part()
 
 
 @query("select doc_id, cast(0 as bigint) as mismatches from documents")
 def mq_roundtrip(spark, sf):
-    """Texts are dealt over all cores in many small tasks: a file of them may be one task, and each byte takes microseconds."""
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8 * spark.sparkContext.defaultParallelism)
+    """Texts are dealt over all cores, a file of them may be one task; few tasks, as coders run faster over many texts together."""
     t = table(spark, sf, "documents").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("raw"))
-    return _each(t.repartition(tasks), "doc_id", "raw", coder_mismatches)
+    return t.repartition(3 * spark.sparkContext.defaultParallelism).mapInArrow(_coded, f"doc_id {dict(t.dtypes)['doc_id']}, mismatches long")
 
 
 def _blocks(spark, sf) -> DataFrame:

@@ -4,12 +4,14 @@ import random
 import struct
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from rippleframe.kernels import bitio, boxes, codec, markers, mq, pnm, structure, tagtree, tier1, tier2, wavelet
+from rippleframe.kernels import bitio, boxes, codec, lanes, markers, mq, pnm, structure, tagtree, tier1, tier2, wavelet
 from rippleframe.kernels.codec import Options
 from rippleframe.operators import images
+from rippleframe.plans import codec_queries
 
 RNG = random.Random(3)
 
@@ -498,3 +500,90 @@ def test_many_bits_at_once():
         for d in other:
             alike = mq.Decoder(d.data[:-2])
             assert d.read(contexts) == bytes(alike.code(0, c) for c in contexts)
+
+
+def _odd_words(rng: random.Random) -> list[bytes]:
+    words = [rng.randbytes(rng.randrange(700)) for _ in range(150)] + [bytes(rng.choice((0, 255)) for _ in range(rng.randrange(700))) for _ in range(150)]
+    words += [bytes([b]) * rng.randrange(900) for b in (0, 255, 170) for _ in range(20)] + [b"", b"a", b"ab", b"abc", "Ünïcode €".encode() * 60, rng.randbytes(2500)]
+    rng.shuffle(words)
+    return words
+
+
+@pytest.mark.parametrize("most, alone", [(1, 135e-9), (7, 0.0), (64, 1.0), (64, 135e-9), (4096, 135e-9), (4096, 1.0)])
+def test_words_in_lanes(monkeypatch, most, alone):
+    """The codewords and words that mq gives, whichever lanes they are in and wherever they leave them."""
+    monkeypatch.setattr(lanes, "MOST", most)
+    monkeypatch.setattr(lanes, "_ALONE", alone)
+    words = _odd_words(random.Random(most))
+    for contexts in ([i + k for k in range(3) for i in range(8)], [mq.UNIFORM, 0, 3, 3, 3, 17, 18, 0]):
+        want = []
+        for w in words:
+            e, bits = mq.Encoder(), [b >> i & 1 for b in w for i in range(7, -1, -1)]
+            e.write(bytes(bits), (contexts * (len(w) + 1))[: len(bits)])
+            want.append(e.finish())
+        assert lanes.encode(words, contexts) == want
+        assert lanes.decode(want, [len(w) for w in words], contexts) == words
+    assert lanes.encode([], contexts) == lanes.decode([], [], contexts) == []
+
+
+def test_words_without_room(monkeypatch):
+    """A word whose code outgrows its room is coded by itself, and no other word is touched."""
+    rng = random.Random(12)
+    words = [rng.randbytes(1500) if n % 3 == 0 else bytes(1500) for n in range(60)]
+    contexts = [i + k for k in range(3) for i in range(8)]
+    want = lanes.encode(words, contexts)
+    monkeypatch.setattr(lanes, "_ALONE", 1.0)
+    monkeypatch.setattr(lanes, "MOST", 16)
+    whole, real = [], lanes._Encoders.alone
+    monkeypatch.setattr(lanes._Encoders, "alone", lambda self, word, e=None, done=0: (whole.append(word) if e is None else None, real(self, word, e, done))[1])
+    monkeypatch.setattr(lanes, "_ROOM", 0.8)
+    assert lanes.encode(words, contexts) == want and {0, 3, 57} <= set(whole) and 1 not in whole
+    assert lanes.decode(want, [len(w) for w in words], contexts) == words
+
+
+def test_texts_are_coded_together(monkeypatch):
+    """Few bits of many texts go one by one, and bits that come back otherwise are told by text."""
+    rng, alone = random.Random(6), [0]
+    texts = [bytes(rng.choice(b"etaoin shrdlu") for _ in range(rng.randrange(400, 900))) for _ in range(600)]
+    for kind in ("Encoder", "Decoder"):
+        name = {"Encoder": "write", "Decoder": "read"}[kind]
+
+        def counted(self, *args, real=getattr(getattr(mq, kind), name)):
+            alone[0] += len(args[0])
+            return real(self, *args)
+
+        monkeypatch.setattr(getattr(mq, kind), name, counted)
+    assert codec_queries.coder_mismatches(texts) == [0] * len(texts)
+    assert alone[0] < 0.2 * 16 * sum(map(len, texts))
+    real = lanes.decode
+    monkeypatch.setattr(lanes, "decode", lambda *a: [w[:-1] + bytes([w[-1] ^ 5]) if n == 3 else w for n, w in enumerate(real(*a))])
+    assert codec_queries.coder_mismatches(texts[:5]) == [0, 0, 0, 2, 0]
+
+
+def test_parts_of_rows(monkeypatch):
+    """Rows in parts, across batches, each row once and in order."""
+    monkeypatch.setattr(codec_queries, "TOGETHER", 100)
+    words = [b"x" * n for n in (0, 30, 99, 1, 250, 0, 100, 20, 0, 79, 5)]
+    table = pa.table({"doc_id": pa.array(range(len(words))), "raw": pa.array(words, pa.binary())})
+    for size in (1, 3, 4, 20):
+        got = list(codec_queries._coded(iter(table.to_batches(size))))
+        assert [r for b in got for r in b.column(0).to_pylist()] == list(range(len(words)))
+        assert all(b.num_rows == len(b.column(1)) and not any(b.column(1).to_pylist()) for b in got)
+        assert len(got) == 4
+    assert list(codec_queries._coded(iter([]))) == []
+
+
+def test_raw_bits_in_long_parts():
+    rng = random.Random(8)
+    for share in (0.5, 0.9, 1.0):
+        bits = bytes(int(rng.random() < share) for _ in range(20_000))
+        one, many = mq.RawEncoder(), mq.RawEncoder()
+        for b in bits:
+            one.code(b, 0)
+        for lo, hi in ((0, 3), (3, 9000), (9000, 20_000)):
+            many.write(bits[lo:hi])
+        plain = one.finish()
+        assert many.finish() == plain
+        kept, single = mq.RawDecoder(plain), mq.RawDecoder(plain)
+        assert kept.read(11) + kept.read(19_989) == bits == bytes(single.code(0, 0) for _ in bits)
+        assert kept.read(99) == bytes(single.code(0, 0) for _ in range(99))  # past the end
