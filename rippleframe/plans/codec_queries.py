@@ -32,7 +32,7 @@ _THREE = [i + k for k in range(3) for i in range(7, -1, -1)]
 
 
 #: Bytes of text that a task's coders take together.
-TOGETHER = 32 << 20
+TOGETHER = 48 << 20
 
 
 def _unlike(data: bytes, back: bytes) -> int:
